@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .quality import op8_token_fertility
+from .records import op4_token_records
+from .unigram import op9_unigram_pieces
 
 QUERIES = {
+    "op4_token_records": op4_token_records,
     "op8_token_fertility": op8_token_fertility,
+    "op9_unigram_pieces": op9_unigram_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {}
