@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .quality import op8_token_fertility
 from .records import op4_token_records
+from .toxicity import op3_ngram_nb_toxicity
 from .unigram import op9_unigram_pieces
 
 QUERIES = {
+    "op3_ngram_nb_toxicity": op3_ngram_nb_toxicity,
     "op4_token_records": op4_token_records,
     "op8_token_fertility": op8_token_fertility,
     "op9_unigram_pieces": op9_unigram_pieces,
