@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_text import op5_best_region
 from .quality import op8_token_fertility
 from .records import op4_token_records
 from .toxicity import op3_ngram_nb_toxicity
@@ -10,6 +11,7 @@ from .unigram import op9_unigram_pieces
 QUERIES = {
     "op3_ngram_nb_toxicity": op3_ngram_nb_toxicity,
     "op4_token_records": op4_token_records,
+    "op5_best_region": op5_best_region,
     "op8_token_fertility": op8_token_fertility,
     "op9_unigram_pieces": op9_unigram_pieces,
 }
