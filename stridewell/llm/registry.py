@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_template_windows
 from .html_text import op5_best_region
 from .quality import op8_token_fertility
 from .records import op4_token_records
+from .secrets import op2_linked_credentials
+from .sharding import op6_slot_table
 from .toxicity import op3_ngram_nb_toxicity
 from .unigram import op9_unigram_pieces
 
 QUERIES = {
+    "op2_linked_credentials": op2_linked_credentials,
     "op3_ngram_nb_toxicity": op3_ngram_nb_toxicity,
     "op4_token_records": op4_token_records,
     "op5_best_region": op5_best_region,
+    "op6_slot_table": op6_slot_table,
     "op8_token_fertility": op8_token_fertility,
     "op9_unigram_pieces": op9_unigram_pieces,
+    "op10_template_windows": op10_template_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {}
