@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op10_template_windows
 from .html_text import op5_best_region
+from .jaccard import op1_blocked_product
 from .quality import op8_token_fertility
 from .records import op4_token_records
 from .secrets import op2_linked_credentials
@@ -12,6 +13,7 @@ from .toxicity import op3_ngram_nb_toxicity
 from .unigram import op9_unigram_pieces
 
 QUERIES = {
+    "op1_blocked_product": op1_blocked_product,
     "op2_linked_credentials": op2_linked_credentials,
     "op3_ngram_nb_toxicity": op3_ngram_nb_toxicity,
     "op4_token_records": op4_token_records,
