@@ -9,6 +9,7 @@ from .quality import op8_token_fertility
 from .records import op4_token_records
 from .secrets import op2_linked_credentials
 from .sharding import op6_slot_table
+from .substrings import op7_fm_index
 from .toxicity import op3_ngram_nb_toxicity
 from .unigram import op9_unigram_pieces
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_token_records": op4_token_records,
     "op5_best_region": op5_best_region,
     "op6_slot_table": op6_slot_table,
+    "op7_fm_index": op7_fm_index,
     "op8_token_fertility": op8_token_fertility,
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_template_windows": op10_template_windows,
