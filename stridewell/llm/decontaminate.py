@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
 from .text import blocks, id_and_text, mix, pieces_hash, ragged, read_table, runs_hash, word_spans
 
 #: Tokens of a window, and the fixed (not placeholder) ones it must have.
@@ -247,5 +248,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return own.join(met, "id").select("id", "text", "items").mapInArrow(check, HITS)
 
 
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+    """The rows of ``df`` that hold no benchmark item, with all their columns; rows of a null id stay."""
+    hits = written(contamination(df, benchmark, id_col, text_col, **columns), "hits")
+    gone = hits.select(F.col("id").alias("__gone")).distinct()
+    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")

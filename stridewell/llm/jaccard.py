@@ -303,5 +303,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without those that have a component of a lesser id: one document of each group stays.
+
+    Rows of a null id stay.  Of rows that repeat an id one stays.
+    """
+    found = written(jaccard_components(df, id_col, text_col).select("id", "component_id"), "components")
+    gone = found.filter("id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    kept = df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    if found.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter(F.col(id_col).isNull()).unionByName(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+
+
 def op1_blocked_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

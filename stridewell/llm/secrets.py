@@ -127,18 +127,41 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _all_spans(df: DataFrame, id_col: str, text_col: str, scope: int) -> DataFrame:
+    """The rows of parts() with the linked weak spans as ``extra``."""
+    found = written(parts(df, id_col, text_col), "secret-parts")
+    weak = linked(found, scope).groupBy("id", "digest").agg(F.collect_list("span").alias("weak"))
+    weak = weak.select(F.col("id").alias("w_id"), F.col("digest").alias("w_digest"), "weak")
+    out = found.join(weak, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")), "left")
+    return out.withColumn("extra", F.coalesce(F.col("weak"), F.array().cast(_SPAN)))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans and n_linked, one row per row of ``df``.
 
     Null and empty texts have no spans; repeated rows give repeated rows; a null id stays null.
     """
-    found = written(parts(df, id_col, text_col), "secret-parts")
-    weak = linked(found, scope).groupBy("id", "digest").agg(F.collect_list("span").alias("weak"))
-    weak = weak.select(F.col("id").alias("w_id"), F.col("digest").alias("w_digest"), "weak")
-    out = found.join(weak, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")), "left")
+    out = _all_spans(df, id_col, text_col, scope)
     base = F.concat("assign", "access", "hex")
-    extra = F.coalesce(F.col("weak"), F.array().cast(_SPAN))
-    return out.select("id", *[F.size(k).cast("long").alias(f"n_{k}") for k in LEAST], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, extra)).alias("spans"), F.size(extra).cast("long").alias("n_linked"))
+    return out.select("id", *[F.size(k).cast("long").alias(f"n_{k}") for k in LEAST], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, "extra")).alias("spans"), F.size("extra").cast("long").alias("n_linked"))
+
+
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
+    """``df`` with every span of its texts replaced by ``mark`` (overlapping ones by one mark); other columns stay.
+
+    A row without spans is unchanged, a null text stays null.
+    """
+    spans = _all_spans(df, id_col, text_col, scope).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.array_sort(F.concat("assign", "access", "hex", "extra")).alias("__spans"))
+    spans = written(spans.filter(F.size("__spans") > 0).dropDuplicates(["__id", "__digest"]), "secret-spans")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(1)) == F.col("__digest"))
+    joined = df.join(spans, same, "left")
+    # left to right: what stands before a span, then a mark unless the span overlaps the one before
+    text = F.expr(
+        f"aggregate(__spans, named_struct('at', 0L, 'parts', cast(array() as array<string>)), (a, s) -> named_struct("
+        f"'at', greatest(a.at, s.stop), 'parts', if(s.start < a.at, a.parts, concat(a.parts, array(substring(`{text_col}`, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{mark}')))),"
+        f" a -> concat(array_join(a.parts, ''), substring(`{text_col}`, cast(a.at + 1 as int), length(`{text_col}`))))"
+    )
+    return joined.select(*[F.when(F.col("__spans").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
 def op2_linked_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:

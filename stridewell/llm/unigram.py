@@ -232,8 +232,17 @@ def _store(model: Model) -> PerPiece:
     return _STORES[key]
 
 
+def _same(model: Model, ids: np.ndarray, n: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the decoded bytes of each text are its own."""
+    back, back_at = model.decode(ids, n)
+    if len(back) == len(data) and (back_at == at).all():
+        wrong = np.concatenate([[0], np.cumsum(back != data)])
+        return wrong[at[1:]] == wrong[at[:-1]]
+    return np.array([back[c:d].tobytes() == data[a:b].tobytes() for a, b, c, d in zip(at[:-1], at[1:], back_at[:-1], back_at[1:], strict=True)], bool)
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
-    """id and ids (array of int) of each text.
+    """id, ids (array of int) of each text, and whether decoding them gives back the text.
 
     Null and empty texts have no ids; repeated rows are encoded again; a null id stays null.
     """
@@ -244,9 +253,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_
         for batch, data, at in blocks(batches):
             ids, n = model.encode(data, at, _store(model))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(_same(model, ids, n, data, at))], ["id", "ids", "round_trip"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "id long, ids array<int>")
+    return id_and_text(df, id_col, text_col).mapInArrow(run, "id long, ids array<int>, round_trip boolean")
 
 
 def decode(df: DataFrame, id_col: str = "id", ids_col: str = "ids", model_path: str | None = None) -> DataFrame:
@@ -276,12 +285,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         model = shared.value
         for batch, data, at in blocks(batches):
             ids, n = model.encode(data, at, _store(model))
-            back, back_at = model.decode(ids, n)
-            if len(back) == len(data) and (back_at == at).all():
-                wrong = np.concatenate([[0], np.cumsum(back != data)])
-                same = wrong[at[1:]] == wrong[at[:-1]]
-            else:
-                same = np.array([back[c:d].tobytes() == data[a:b].tobytes() for a, b, c, d in zip(at[:-1], at[1:], back_at[:-1], back_at[1:], strict=True)])
+            same = _same(model, ids, n, data, at)
             cut = np.concatenate([[0], np.cumsum(n)])
             raw = ids.astype("<u4").tobytes()
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
