@@ -29,10 +29,11 @@ from .text import PerPiece, blocks, id_and_text, mix, read_table, word_spans
 BITS = 18
 SIZES = (3, 4, 5)
 #: Most labelled rows that a classifier is fitted on.
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 ROUNDS = 60
 SMOOTHING = 1.0
 L2 = 1e-2
+_WORDS = 1 << 16
 
 _ARROW = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 
@@ -52,9 +53,9 @@ def word_ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             h = mix(h * np.uint64(0x100000001B3) + codes[inside + k])
         owner.append(word[inside])
-        ids.append((h >> np.uint64(64 - BITS)).astype(np.int64))
+        ids.append((h >> np.uint64(64 - BITS)).astype(np.int32))
     if not owner:
-        return np.zeros(len(size), np.int64), np.zeros(0, np.int64)
+        return np.zeros(len(size), np.int64), np.zeros(0, np.int32)
     owner, ids = np.concatenate(owner), np.concatenate(ids)
     order = np.argsort(owner, kind="stable")
     return np.bincount(owner, minlength=len(size)), ids[order]
@@ -73,11 +74,23 @@ def fit(doc: np.ndarray, word: np.ndarray, at: np.ndarray, grams: np.ndarray, to
     prior = float(np.log((toxic.sum() + SMOOTHING) / (n - toxic.sum() + SMOOTHING)))
     if n == 0 or toxic.all() or not toxic.any() or not len(doc):
         return np.zeros(size, np.float32), prior
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    steps = range(0, len(at) - 1, _WORDS)  # n-grams of so many words at a time bound the memory
 
     def counts(of_docs: np.ndarray) -> np.ndarray:
         per_word = np.bincount(word, weights=of_docs[doc], minlength=len(at) - 1)
-        return np.bincount(grams, weights=per_word[owner], minlength=size)
+        total = np.zeros(size)
+        for i in steps:
+            edge = at[i : i + _WORDS + 1]
+            total += np.bincount(grams[edge[0] : edge[-1]], weights=np.repeat(per_word[i : i + _WORDS], np.diff(edge)), minlength=size)
+        return total
+
+    def words(of_grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at) - 1)
+        for i in steps:
+            edge = at[i : i + _WORDS + 1]
+            total = np.concatenate([[0.0], np.cumsum(of_grams[grams[edge[0] : edge[-1]]])])
+            out[i : i + _WORDS] = np.diff(total[edge - edge[0]])
+        return out
 
     p, q = SMOOTHING + counts(toxic.astype(float)), SMOOTHING + counts(1.0 - toxic)
     ratio = np.log((p / p.sum()) / (q / q.sum()))
@@ -87,8 +100,7 @@ def fit(doc: np.ndarray, word: np.ndarray, at: np.ndarray, grams: np.ndarray, to
     m1 = m2 = np.zeros(size)
     b1 = b2 = 0.0
     for t in range(1, rounds + 1):  # full-batch Adam
-        per_word = np.add.reduceat(np.append((weight * ratio)[grams], 0.0), at[:-1]) * (np.diff(at) > 0)
-        z = bias + np.bincount(doc, weights=per_word[word], minlength=n)
+        z = bias + np.bincount(doc, weights=words(weight * ratio)[word], minlength=n)
         error = (1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))) - y) / n
         grad = ratio * counts(error) + L2 * weight
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
@@ -100,13 +112,13 @@ def fit(doc: np.ndarray, word: np.ndarray, at: np.ndarray, grams: np.ndarray, to
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[pa.RecordBatch]:
-    store = PerPiece(word_ngrams, np.int64, most=1 << 62)
+    store = PerPiece(word_ngrams, np.int32, most=1 << 62)
     docs, words, toxic, n = [], [], [], 0
     for batch, data, at in blocks(batches):
         start, end, first = word_spans(data, at)
         doc, word = _distinct_words(store.rows(data, start, end)[0], first)
-        docs.append(doc + n)
-        words.append(word)
+        docs.append((doc + n).astype(np.int32))
+        words.append(word.astype(np.int32))
         toxic.append(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
         n += batch.num_rows
     if not n:
@@ -137,35 +149,57 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 _STORES: dict[int, PerPiece] = {}
 
 
+def _scorer(weights: np.ndarray, key: int, bias: float):
+    """A function from the bytes and offsets of texts to their scores."""
+
+    def word_scores(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n, grams = word_ngrams(words)
+        owner = np.repeat(np.arange(len(n)), n)
+        return np.ones(len(n), np.int64), np.bincount(owner, weights=weights[grams], minlength=len(n))
+
+    if key not in _STORES:
+        _STORES.clear()
+        _STORES[key] = PerPiece(word_scores, np.float32)
+    store = _STORES[key]
+    store.compute = word_scores
+
+    def scores(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        start, end, first = word_spans(data, at)
+        row, place, values = store.rows(data, start, end)
+        doc, word = _distinct_words(row, first)
+        z = bias + np.bincount(doc, weights=values[place[word]], minlength=len(at) - 1)
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+
+    return scores
+
+
 def score(df: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1) of each text; null and empty texts get the score of the bias alone."""
     weight, bias = model
-    shared = df.sparkSession.sparkContext.broadcast(weight)
-    key = zlib.crc32(weight.tobytes())
+    shared, key = df.sparkSession.sparkContext.broadcast(weight), zlib.crc32(weight.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
-
-        def word_scores(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            n, grams = word_ngrams(words)
-            owner = np.repeat(np.arange(len(n)), n)
-            return np.ones(len(n), np.int64), np.bincount(owner, weights=weights[grams], minlength=len(n))
-
-        if key not in _STORES:
-            _STORES.clear()
-            _STORES[key] = PerPiece(word_scores, np.float32)
-        store = _STORES[key]
-        store.compute = word_scores
+        scores = _scorer(shared.value, key, bias)
         for batch, data, at in blocks(batches):
-            start, end, first = word_spans(data, at)
-            row, place, values = store.rows(data, start, end)
-            doc, word = _distinct_words(row, first)
-            z = bias + np.bincount(doc, weights=values[place[word]], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(data, at))], schema=_ARROW)
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "id long, score double")
 
 
+def drop_toxic(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df`` whose text scores below the threshold, with all their columns."""
+    weight, bias = model
+    shared, key = df.sparkSession.sparkContext.broadcast(weight), zlib.crc32(weight.tobytes())
+
+    @F.arrow_udf("double")
+    def text_score(column: pa.Array) -> pa.Array:
+        scores = _scorer(shared.value, key, bias)
+        batch = pa.RecordBatch.from_arrays([column], ["text"])
+        return pa.array(np.concatenate([np.zeros(0), *(scores(data, at) for _, data, at in blocks(iter([batch])))]))
+
+    return df.filter(text_score(F.coalesce(F.col(text_col), F.lit(""))) < threshold)
+
+
 def op3_ngram_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = score(docs, train(docs, read_table(spark, sf_dir, "labels")))
