@@ -7,8 +7,9 @@ from the sizes s and t alone: the smaller has at least 0.85 of the larger, and a
 most d = floor((s + t) * 15 / 185) n-grams stand in only one of the two.
 
 Columns are dealt into more than d blocks by hash, so a pair within the bounds
-has blocks on which both rows are identical: the product is formed only for
-pairs that share such a block.  For them overlaps accumulate block of columns by
+has blocks on which both rows are identical, all but d of those that either row
+gives.  Counts of shared blocks add up by pair, and the product is formed only
+for pairs that reach that number.  For them overlaps accumulate block of columns by
 block, and a pair is dropped as soon as what remains can't reach its bound.
 
 Links are wanted for what they connect.  Rows of a shared block first meet one
@@ -96,11 +97,14 @@ def rows_of(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def shared_blocks(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash of a block of columns with what the text has there) of all blocks that must be compared."""
+def shared_blocks(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash of a block of columns with what the text has there, how many blocks it gives) of all blocks that must be compared.
+
+    The lowest bit of a hash tells the two intervals of a text apart.
+    """
     size = np.diff(at)
     own = np.searchsorted(BOUNDS, size, "right") - 1
-    texts, keys = [], []
+    texts, keys, given = [], [], []
     for step in (0, 1):
         interval = own + step
         some = np.flatnonzero((size > 0) & ((step == 0) | (100 * size >= PERCENT * BOUNDS[np.minimum(interval, len(BOUNDS) - 1)])))
@@ -128,10 +132,11 @@ def shared_blocks(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
         number = np.arange(len(text)) - base[text]
         key = mix(total[edge[1:]] - total[edge[:-1]] + mix((k[text] * (1 << 32) + number).astype(np.uint64)))
         texts.append(some[text[emit]])
-        keys.append(key[emit])
+        keys.append((key[emit] & ~np.uint64(1)) | (k[text[emit]] & 1).astype(np.uint64))
+        given.append(np.bincount(text, weights=emit, minlength=len(some)).astype(np.int32)[text[emit]])
     if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(texts), np.concatenate(keys)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return np.concatenate(texts), np.concatenate(keys), np.concatenate(given)
 
 
 def links_needed(a: int, b: int) -> int:
@@ -174,31 +179,34 @@ def _row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r not in seen:
                 seen.add(r)
                 new[i] = True
-        text, key = shared_blocks(grams, first)
+        text, key, given = shared_blocks(grams, first)
         keep = new[text]
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(row[text[keep]])], ["block", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(row[text[keep]]), pa.array(given[keep])], ["block", "row", "given"])
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (block, row) in order, without repeats, those whose block another row has too."""
-    last = np.zeros((2, 0), np.int64)  # the last pair, not yet decided on, and whether its block came before
+    """From (block, row, given) in order, without repeats, those whose block another row has too."""
+    last = np.zeros((3, 0), np.int64)  # the last entry, not yet decided on, and whether its block came before
     shared = False
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], ["block", "row", "given"])
+
     for batch in batches:
-        pair = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-        pair = np.concatenate([last, pair], axis=1)
-        new = np.ones(pair.shape[1], bool)
-        new[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
-        pair = pair[:, new]
-        if not pair.shape[1]:
+        rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        rows = np.concatenate([last, rows], axis=1)
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+        rows = rows[:, new]
+        if not rows.shape[1]:
             continue
-        same = pair[0, 1:] == pair[0, :-1]
+        same = rows[0, 1:] == rows[0, :-1]
         live = np.concatenate([[shared and last.shape[1] > 0], same])
         live[:-1] |= same
-        shared, last = bool(live[-1]), pair[:, -1:]
-        done = pair[:, :-1][:, live[:-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(done[0]), pa.array(done[1])], ["block", "row"])
+        shared, last = bool(live[-1]), rows[:, -1:]
+        yield out(rows[:, :-1][:, live[:-1]])
     if last.shape[1] and shared:
-        yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], ["block", "row"])
+        yield out(last)
 
 
 def _row_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -263,15 +271,30 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = id_and_text(df, id_col, text_col)
     rows = written(docs.mapInArrow(_matrix_rows, "id long, n long, row long"), "matrix-rows")
-    cut = docs.mapInArrow(_row_blocks, "block long, row long").repartition("block").sortWithinPartitions("block", "row")
-    shared = written(cut.mapInArrow(_shared_only, "block long, row long"), "shared-blocks")
+    entry = "block long, row long, given int"
+    cut = docs.mapInArrow(_row_blocks, entry).repartition("block").sortWithinPartitions("block", "row")
+    shared = written(cut.mapInArrow(_shared_only, entry), "shared-blocks")
     live = shared.select("row").distinct()
-    chosen = rows.join(live, "row", "left_semi").filter("id is not null").groupBy("row").agg(F.min("id").alias("id"))
-    row_sets = written(_row_sets(docs, written(chosen, "chosen")), "row-sets")
-
-    hubs = shared.groupBy("block").agg(F.min("row").alias("a"))
-    star = shared.join(hubs, "block").filter("a <> row").groupBy("a", F.col("row").alias("b")).agg(F.count("*").alias("together"))
-    star = written(star, "star")
+    live_rows = rows.join(live, "row", "left_semi").groupBy("row").agg(F.min("id").alias("id"), F.min("n").cast("long").alias("n"))
+    live_rows = written(live_rows, "live-rows")
+    row_sets = written(_row_sets(docs, live_rows.filter("id is not null").select("row", "id")), "row-sets")
+    shared = shared.join(live_rows.select("row", "n"), "row")
+
+    def candidates(met: DataFrame) -> DataFrame:
+        """a, b, together of (a, b, block, given, given_b, n, n_b): the pairs that share blocks enough.
+
+        A pair that links differs in at most floor((n + n_b) * 15 / 185) blocks, so it shares all
+        others that either gives.
+        """
+        differ = F.floor((F.col("n") + F.col("n_b")) * (100 - PERCENT) / (100 + PERCENT))
+        counts = met.groupBy("a", "b", F.expr("block & 1")).agg(F.count("*").alias("together"), (F.max(F.greatest("given", "given_b")) - F.max(differ)).alias("needed"))
+        return counts.filter(F.col("together") >= F.col("needed")).groupBy("a", "b").agg(F.max("together").alias("together"))
+
+    hubs = shared.groupBy("block").agg(F.min(F.struct("row", "given", "n")).alias("hub"))
+    hubs = hubs.select("block", F.col("hub.row").alias("a"), F.col("hub.given").alias("given"), F.col("hub.n").alias("n"))
+    others = shared.select("block", F.col("row").alias("b"), F.col("given").alias("given_b"), F.col("n").alias("n_b"))
+    sized = 100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")
+    star = written(candidates(others.join(hubs, "block").filter("a <> b").filter(sized)), "star")
     best = star.groupBy("b").agg(F.max(F.struct("together", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
     links = written(verify(best, row_sets), "links-1")
     roots = components(links)
@@ -285,16 +308,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = components(links)
 
     # what is left: rows of one block in different components that haven't met
-    sizes = rows.join(live, "row", "left_semi").groupBy("row").agg(F.min("n").alias("n"))
-    state = sizes.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "n", F.coalesce("root", "row").alias("root"))
-    placed = shared.join(state, "row")
+    placed = shared.join(roots.withColumnRenamed("node", "row"), "row", "left").select("block", "row", "given", "n", F.coalesce("root", "row").alias("root"))
     mixed = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("block")
     open_rows = written(placed.join(mixed, "block"), "open-blocks")
-    other = open_rows.select("block", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    near = (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")) & (F.col("root") < F.col("root_b"))
-    across = open_rows.withColumnRenamed("row", "a").join(other, "block").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    met = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = written(links.union(verify(across.join(met, ["a", "b"], "left_anti"), row_sets)), "links-3")
+    other = open_rows.select("block", F.col("row").alias("b"), F.col("given").alias("given_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    met = open_rows.withColumnRenamed("row", "a").join(other, "block").filter(sized & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")))
+    across = candidates(met).select("a", "b").join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = written(links.union(verify(across, row_sets)), "links-3")
     roots = components(links)
 
     placed = rows.join(roots.withColumnRenamed("node", "row"), "row", "left").select("id", "n", F.coalesce("root", "row").alias("root"))
