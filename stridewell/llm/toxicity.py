@@ -33,6 +33,8 @@ MAX_TRAIN = 8_000
 ROUNDS = 60
 SMOOTHING = 1.0
 L2 = 1e-2
+#: Bias without any labelled row: nothing is called toxic.
+UNTAUGHT = -1.0
 _WORDS = 1 << 16
 
 _ARROW = pa.schema([("id", pa.int64()), ("score", pa.float64())])
@@ -71,7 +73,7 @@ def _distinct_words(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
 def fit(doc: np.ndarray, word: np.ndarray, at: np.ndarray, grams: np.ndarray, toxic: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """(weight of each hashed n-gram, bias) from (document, word) pairs, the n-grams of each word, and labels."""
     n, size = len(toxic), 1 << BITS
-    prior = float(np.log((toxic.sum() + SMOOTHING) / (n - toxic.sum() + SMOOTHING)))
+    prior = float(np.log((toxic.sum() + SMOOTHING) / (n - toxic.sum() + SMOOTHING))) if n else UNTAUGHT
     if n == 0 or toxic.all() or not toxic.any() or not len(doc):
         return np.zeros(size, np.float32), prior
     steps = range(0, len(at) - 1, _WORDS)  # n-grams of so many words at a time bound the memory
@@ -134,7 +136,8 @@ def is_held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights of hashed n-grams and a bias, from labelled rows that are not held out.
 
-    Rows without a label, an id or a text are left out; without both labels every weight is 0.
+    Rows without a label, an id or a text are left out; without both labels every weight is 0,
+    and without any row the bias is UNTAUGHT.
     Of repeated labels of an id the largest counts.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna()
@@ -143,6 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most max_train pairs of integers: small enough to broadcast
     texts = id_and_text(docs.filter(F.col(text_col).isNotNull()), id_col, text_col).join(F.broadcast(chosen), "id")
     rows = texts.select("id", "text", "toxic").repartition(1).mapInArrow(lambda it: _fit_task(it, rounds), "weight binary, bias double").collect()
+    if not rows:  # a plan that is known to be empty runs no task
+        return np.zeros(1 << BITS, np.float32), UNTAUGHT
     return np.frombuffer(bytes(rows[0].weight), np.float32), rows[0].bias
 
 
