@@ -26,4 +26,22 @@ QUERIES = {
     "op10_template_windows": op10_template_windows,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_blocked_product": f"""with recursive d as (select doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w from documents),
+s as (select distinct doc_id, w[i : i + 3] g from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) i from d)),
+h as (select doc_id, md5(array_to_string(g, ' ')) g from s),
+n as (select doc_id, count(*) n from h group by 1),
+o as (select a.doc_id a, b.doc_id b, count(*) x from h a join h b using (g) where a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from o join n p on p.doc_id = a join n q on q.doc_id = b where 100 * x >= 85 * (p.n + q.n - x)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, low) as (select doc_id, doc_id from d union select e.b, r.low from r join e on e.a = r.doc_id where r.low < e.b)
+select d.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(r.low) component_id from d join r using (doc_id) left join n using (doc_id) group by 1""",
+    "op7_fm_index": f"""with d as (select doc_id, {_WORDS.format(text="coalesce(text, '')")} w from documents),
+f as (select doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) h from (select doc_id, w, unnest(range(1, len(w) - 33)) i from d)),
+m as (select h from f group by 1 having count(*) > 1),
+g as (select distinct doc_id, unnest(range(i, i + 35)) p from f semi join m using (h)),
+k as (select doc_id, string_agg(x, ' ' order by p) t, count(*) c from (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d) anti join g using (doc_id, p) group by 1)
+select d.doc_id, len(w) n_words, len(w) - coalesce(c, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join k using (doc_id)""",
+}
