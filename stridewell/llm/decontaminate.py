@@ -31,6 +31,8 @@ MIN_FIXED = 4
 #: A document holds an item if this share of the item's windows is met, or a run of so many tokens.
 COVERAGE = 0.5
 RUN = 13
+#: Words with capitals in a row that are no names.
+SHOUTED = 4
 #: Bytes of benchmark text that are broadcast at most (their arrays take about ten times that).
 BROADCAST_BYTES = 16 << 20
 
@@ -68,7 +70,8 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
     A token is a word without the punctuation around it, in lower case; words of punctuation alone
     don't count.  It is a number if it has a digit, a unit if listed, and a name if it has a capital
-    but doesn't begin a sentence.
+    but doesn't begin a sentence and isn't one of SHOUTED or more such words in a row, as in headings
+    and texts in capitals.
     """
     start, end, first = word_spans(data, at)
     solid = np.flatnonzero(_SOLID[data])
@@ -94,7 +97,9 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     kind = np.zeros(len(start), np.int8)
     if len(start):
         capital = ((data[start] >= 65) & (data[start] <= 90)) | np.isin(start + 1, wide)
-        kind[capital & ~begins] = NAME
+        edge = np.flatnonzero(np.diff(capital, prepend=~capital[:1]) | np.isin(np.arange(len(start)), first))
+        in_row = np.repeat(np.diff(np.append(edge, len(start))), np.diff(np.append(edge, len(start))))
+        kind[capital & ~begins & (in_row < SHOUTED)] = NAME
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
         kind[np.isin(value, _UNIT_HASHES)] = UNIT
         kind[digits[end] > digits[start]] = NUMBER

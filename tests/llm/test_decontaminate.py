@@ -14,21 +14,27 @@ ITEM = "A train leaves Berlin at 9 and travels 120 miles in 3 hours; how many mi
 
 def canonical(text: str) -> tuple[list[str], list[str]]:
     """(template, values) of a text, token by token."""
-    template, values, begins = [], [], True
+    tokens, begins, last = [], True, 0
     for m in re.finditer("[^\\x20\\x09-\\x0D]+", text):
         w = m[0]
-        if begins is None:
-            begins = "\n" in text[last : m.start()]
+        starts = begins or "\n" in text[last : m.start()]
+        begins, last = w[-1] in ".!?:", m.end()
         core = re.sub("^[^0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff]+$", "", w)
-        starts, begins, last = begins, True if w[-1] in ".!?:" else None, m.end()
-        if not core:
-            continue
+        if core:
+            tokens.append((core, starts, bool(re.match("[A-ZÀ-ÖØ-Þ]", core))))
+    template, values = [], []
+    for k, (core, starts, capital) in enumerate(tokens):
+        a = b = k
+        while a > 0 and tokens[a - 1][2]:
+            a -= 1
+        while b + 1 < len(tokens) and tokens[b + 1][2]:
+            b += 1
         low = re.sub("[A-ZÀ-ÖØ-Þ]", lambda c: c[0].lower(), core)
         if re.search("[0-9]", core):
             kind = "<number>"
         elif low in d.UNITS:
             kind = "<unit>"
-        elif re.match("[A-ZÀ-ÖØ-Þ]", core) and not starts:
+        elif capital and not starts and b - a + 1 < d.SHOUTED:
             kind = "<name>"
         else:
             kind = low
@@ -98,6 +104,7 @@ def planted(spark):
         (4, lead()),
         (5, "we ask: what is the name of the tall bird that stands on one leg?"),
         (6, "The train was late and the bird stood on one leg. Too short."),
+        (7, f"{lead()}. WHAT IS THE NAME OF THE TALL BIRD THAT STANDS ON ONE LEG? {lead()}"),
     ]
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
 
@@ -105,7 +112,7 @@ def planted(spark):
 def test_changed_values_are_caught_if_consistent(spark):
     docs, items = planted(spark)
     out = {(r.id, r.item_id): r for r in d.contamination(docs, items).collect()}
-    assert {(1, 1), (2, 1), (5, 3)} <= set(out) and not any(i in (4, 6) for i, _ in out)
+    assert {(1, 1), (2, 1), (5, 3), (7, 3)} <= set(out) and not any(i in (4, 6) for i, _ in out)
     assert out[1, 1].n_changed_slots == 0 and out[2, 1].n_changed_slots >= 4
     # "miles" became "km" in one place only: the whole diagonal is inconsistent
     assert (3, 1) not in out
