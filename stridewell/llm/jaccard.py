@@ -2,20 +2,22 @@
 
 Rows of the matrix are distinct sets of word n-grams (equal sets are one row),
 columns are n-grams.  The overlap of two rows is the product of the matrix with
-its transpose; a pair links if 100 * overlap >= 85 * union.  Two bounds follow
-from the sizes s and t alone: the smaller has at least 0.85 of the larger, and at
-most d = floor((s + t) * 15 / 185) n-grams stand in only one of the two.
+its transpose; a pair links if 100 * overlap >= percent * union.  Two bounds follow
+from the sizes s and t alone, here for 85 percent: the smaller has at least 0.85 of
+the larger, and at most d = floor((s + t) * 15 / 185) n-grams stand in only one.
 
 Columns are dealt into more than d blocks by hash, so a pair within the bounds
 has blocks on which both rows are identical, all but d of those that either row
-gives.  Counts of shared blocks add up by pair, and the product is formed only
-for pairs that reach that number.  For them overlaps accumulate block of columns by
-block, and a pair is dropped as soon as what remains can't reach its bound.
+gives.  A row that shares too few in all goes.  Counts of shared blocks add up by
+pair, and the product is formed only for pairs that reach that number and whose
+parity sketches differ in d bits at most.  For them overlaps accumulate block of
+columns by block, and a pair is dropped as soon as what remains can't reach its
+bound.
 
 Links are wanted for what they connect.  Rows of a shared block first meet one
 row each (a star, linear in the block); then the members of blocks that still
-hold several components meet across those, which leaves no link out.  So large
-groups of near copies don't meet pair by pair.
+hold several components meet across those, which leaves no link out.  There sketches
+are compared inside the join, so a pair beyond the bound never becomes a row.
 
 Sizes come in intervals: blocks are cut by the largest size of an interval, and
 a row joins the next interval too if a partner may be there.  A block with one
@@ -26,19 +28,21 @@ be sure of sharing one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import written
 from .text import blocks, id_and_text, mix, pieces_hash, read_table, runs_hash, word_spans
 
-WORDS = 4
-PERCENT = 85
-#: Ratio of the sizes in an interval, and the blocks beyond d + 1 in hundredths.
+#: Words of an n-gram and the least similarity in percent: of the query, and of near copies elsewhere.
+WORDS, PERCENT = 4, 85
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Least ratio of the sizes in an interval, and the blocks beyond d + 1 in hundredths.
 INTERVAL = 1.25
 SPARE = 12
 #: Ids of rows to look up inside tasks: more go through a shuffle (8 bytes each).
@@ -46,19 +50,21 @@ BROADCAST_IDS = 4_000_000
 #: Rows that meet one row in one task.
 STAR = 512
 COLUMN_BLOCKS = 4
+#: Longs of the parity sketch of a set.
+SKETCH = 16
+_SKETCH = [f"s{k}" for k in range(SKETCH)]
+_ROW_SET = "row long, grams binary, " + ", ".join(f"{c} long" for c in _SKETCH)
 
 
-def size_bounds(largest: int = 1 << 31, ratio: float = INTERVAL) -> np.ndarray:
-    """First size of each interval."""
+@lru_cache
+def size_bounds(percent: int = PERCENT, largest: int = 1 << 31) -> np.ndarray:
+    """First size of each interval; a set's partners lie in its own, the one before or the one after."""
     out = [1]
     while out[-1] <= largest:
-        out.append(max(out[-1] + 1, int(out[-1] * ratio)))
+        out.append(max(out[-1] + 1, int(out[-1] * INTERVAL), -(-out[-1] * 100 // percent)))
     return np.array(out, np.int64)
 
 
-BOUNDS = size_bounds()
-
-
 def sets(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct n-gram hashes of all texts joined, where those of each text begin)."""
     start, end, first = word_spans(data, at)
@@ -97,21 +103,22 @@ def rows_of(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
-def shared_blocks(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash of a block of columns with what the text has there, how many blocks it gives) of all blocks that must be compared.
+def shared_blocks(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash of a block of columns with what the text has there, blocks to count on) of all blocks that must be compared.
 
-    The lowest bit of a hash tells the two intervals of a text apart.
+    The lowest bit of a hash tells the two intervals of a text apart.  A pair whose sets differ in
+    x n-grams shares at least as many blocks as the row with fewer to count on has, less x.
     """
-    size = np.diff(at)
-    own = np.searchsorted(BOUNDS, size, "right") - 1
+    size, bounds = np.diff(at), size_bounds(percent)
+    own = np.searchsorted(bounds, size, "right") - 1
     texts, keys, given = [], [], []
     for step in (0, 1):
         interval = own + step
-        some = np.flatnonzero((size > 0) & ((step == 0) | (100 * size >= PERCENT * BOUNDS[np.minimum(interval, len(BOUNDS) - 1)])))
+        some = np.flatnonzero((size > 0) & ((step == 0) | (100 * size >= percent * bounds[np.minimum(interval, len(bounds) - 1)])))
         if not len(some):
             continue
         k = interval[some]
-        most = 2 * (BOUNDS[k + 1] - 1) * (100 - PERCENT) // (100 + PERCENT)  # d for the largest sizes
+        most = 2 * (bounds[k + 1] - 1) * (100 - percent) // (100 + percent)  # d for the largest sizes
         n = most + 1 + -(-SPARE * (most + 1) // 100)
         base = np.cumsum(n) - n
         where = np.full(len(size), -1)
@@ -133,22 +140,34 @@ def shared_blocks(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
         key = mix(total[edge[1:]] - total[edge[:-1]] + mix((k[text] * (1 << 32) + number).astype(np.uint64)))
         texts.append(some[text[emit]])
         keys.append((key[emit] & ~np.uint64(1)) | (k[text[emit]] & 1).astype(np.uint64))
-        given.append(np.bincount(text, weights=emit, minlength=len(some)).astype(np.int32)[text[emit]])
+        given.append(np.where(n_weak >= n - most, most + 1, n - n_weak).astype(np.int32)[text[emit]])
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
     return np.concatenate(texts), np.concatenate(keys), np.concatenate(given)
 
 
-def links_needed(a: int, b: int) -> int:
+def parity_sketch(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SKETCH longs for each set: of n-grams that fall on a bit, whether their number is odd.
+
+    Two sketches differ in no more bits than the sets differ in n-grams, so a pair with more such
+    bits than its bound can't link.
+    """
+    bits = 64 * SKETCH
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    odd = np.bincount(owner * bits + (grams % np.uint64(bits)).astype(np.int64), minlength=(len(at) - 1) * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view(np.int64)
+
+
+def links_needed(a: int, b: int, percent: int = PERCENT) -> int:
     """The least overlap with which sets of these sizes link."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets link: overlaps of blocks of columns add up until the bound is met or out of reach."""
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    need, overlap = links_needed(len(a), len(b)), 0
+    need, overlap = links_needed(len(a), len(b), percent), 0
     edges = np.linspace(0, 2**64 - 1, COLUMN_BLOCKS + 1)[1:-1].astype(np.uint64)
     cut_a, cut_b = [0, *np.searchsorted(a, edges).tolist(), len(a)], [0, *np.searchsorted(b, edges).tolist(), len(b)]
     for k in range(COLUMN_BLOCKS):
@@ -163,23 +182,23 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return False
 
 
-def _matrix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matrix_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch, data, at in blocks(batches):
-        grams, first = sets(data, at)
+        grams, first = sets(data, at, words)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(rows_of(grams, first))], ["id", "n", "row"])
 
 
-def _row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _row_blocks(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # rows of this task: copies give their blocks once
-    for batch, data, at in blocks(batches):
-        grams, first = sets(data, at)
+    for _, data, at in blocks(batches):
+        grams, first = sets(data, at, words)
         row = rows_of(grams, first)
         new = np.zeros(len(row), bool)
         for i, r in enumerate(row.tolist()):
             if r not in seen:
                 seen.add(r)
                 new[i] = True
-        text, key, given = shared_blocks(grams, first)
+        text, key, given = shared_blocks(grams, first, percent)
         keep = new[text]
         yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(row[text[keep]]), pa.array(given[keep])], ["block", "row", "given"])
 
@@ -209,8 +228,8 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(last)
 
 
-def _row_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """row and its set (sorted hashes as bytes) for the chosen (id, row): a lookup inside tasks if their number allows, else a join."""
+def _row_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """row, its set (sorted hashes as bytes) and its sketch for the chosen (id, row): a lookup inside tasks if their number allows, else a join."""
 
     def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         for batch, data, at in blocks(batches):
@@ -225,18 +244,19 @@ def _row_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 yield pack(data, at)
 
     def pack(data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        grams, first = sets(data, at)
+        grams, first = sets(data, at, words)
         raw, cut = grams.tobytes(), (8 * first).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(rows_of(grams, first)), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["row", "grams"])
+        sketch = parity_sketch(grams, first)
+        return pa.RecordBatch.from_arrays([pa.array(rows_of(grams, first)), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), *(pa.array(sketch[:, k]) for k in range(SKETCH))], ["row", "grams", *_SKETCH])
 
     n = chosen.count()
     if n <= BROADCAST_IDS:
         ids = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.id for r in chosen.select("id").toLocalIterator()], np.int64)))
-        return docs.mapInArrow(lambda it: run(it, ids.value), "row long, grams binary")
-    return docs.join(chosen.select("id"), "id", "left_semi").mapInArrow(lambda it: run(it, None), "row long, grams binary")
+        return docs.mapInArrow(lambda it: run(it, ids.value), _ROW_SET)
+    return docs.join(chosen.select("id"), "id", "left_semi").mapInArrow(lambda it: run(it, None), _ROW_SET)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (a, salt, b, set), with a's own set (b null) first: the pairs that link."""
     now, own = None, np.zeros(0, np.uint64)
     for batch in batches:
@@ -246,57 +266,80 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
             if b[k] is None:
                 now, own = (a[k], salt[k]), grams.copy()
-            elif now == (a[k], salt[k]) and linked(own, grams):
+            elif now == (a[k], salt[k]) and linked(own, grams, percent):
                 out_a.append(a[k])
                 out_b.append(b[k])
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
-def verify(pairs: DataFrame, row_sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, row_sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link.  Sets of b travel to a; an a of many pairs is split by salt."""
     many = pairs.groupBy("a").agg(F.count("*").alias("m"))
     salted = pairs.join(many, "a").select("a", F.pmod(F.hash("b"), F.floor(F.col("m") / STAR).cast("int") + 1).alias("salt"), "b")
     right = salted.join(row_sets.select(F.col("row").alias("b"), "grams"), "b").select("a", "salt", "b", "grams")
     left = salted.select("a", "salt").distinct().join(row_sets.select(F.col("row").alias("a"), "grams"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "grams")
     ordered = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return ordered.mapInArrow(_verify, "a long, b long")
+    return ordered.mapInArrow(lambda it: _verify(it, percent), "a long, b long")
+
+
+def _differ(n: Column, m: Column, percent: int) -> Column:
+    """The most n-grams in only one of two sets of these sizes that link."""
+    return F.floor((n + m) * (100 - percent) / (100 + percent))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _of(sketches: DataFrame, side: str, prefix: str) -> DataFrame:
+    return sketches.select(F.col("row").alias(side), *[F.col(c).alias(f"{prefix}{k}") for k, c in enumerate(_SKETCH)])
+
+
+def _apart(left: str, right: str) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(F.col(f"{left}{k}").bitwiseXOR(F.col(f"{right}{k}"))) for k in range(SKETCH)), F.lit(0))
+
+
+def _with_links(links: DataFrame, more: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links and their components, which stay as they are if there are no more links."""
+    if more.isEmpty():
+        return links, roots
+    links = links.union(more)
+    return links, components(links)
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles and component_id (the least id reachable by links, its own included), a row for each row of ``df``.
 
     Null and empty texts have no n-grams and link with nothing: their component is their own id.
-    Repeated rows and ties have equal sets, and so one component.  A null id stays null and is
-    never the least.  An empty table gives no rows.
+    Repeated rows and ties have equal sets, and so one component.  A null id stays null, is never
+    the least, and a row without an id links only with equal sets.  An empty table gives no rows.
     """
     docs = id_and_text(df, id_col, text_col)
-    rows = written(docs.mapInArrow(_matrix_rows, "id long, n long, row long"), "matrix-rows")
+    rows = written(docs.mapInArrow(lambda it: _matrix_rows(it, words), "id long, n long, row long"), "matrix-rows")
     entry = "block long, row long, given int"
-    cut = docs.mapInArrow(_row_blocks, entry).repartition("block").sortWithinPartitions("block", "row")
+    cut = docs.mapInArrow(lambda it: _row_blocks(it, words, percent), entry).repartition("block").sortWithinPartitions("block", "row")
     shared = written(cut.mapInArrow(_shared_only, entry), "shared-blocks")
-    live = shared.select("row").distinct()
-    live_rows = rows.join(live, "row", "left_semi").groupBy("row").agg(F.min("id").alias("id"), F.min("n").cast("long").alias("n"))
-    live_rows = written(live_rows, "live-rows")
-    row_sets = written(_row_sets(docs, live_rows.filter("id is not null").select("row", "id")), "row-sets")
-    shared = shared.join(live_rows.select("row", "n"), "row")
+    # a row links only if it shares blocks enough in all
+    counts = shared.groupBy("row", F.expr("block & 1").alias("side")).agg(F.count("*").alias("c"), F.first("given").alias("given"))
+    sizes = rows.join(counts.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    live = written(counts.join(sizes, "row").filter(F.col("c") >= F.col("given") - _differ(F.col("n"), F.floor(F.col("n") * 100 / percent), percent)).select("row", "side", "id", "n", "c"), "live-rows")
+    row_sets = written(_row_sets(docs, live.filter("id is not null").select("row", "id").distinct(), words), "row-sets")
+    shared = shared.withColumn("side", F.expr("block & 1")).join(live.select("row", "side", "n", "c"), ["row", "side"]).drop("side")
+    sketches = row_sets.select("row", *_SKETCH)
+    differ = _differ(F.col("n"), F.col("n_b"), percent)
 
     def candidates(met: DataFrame) -> DataFrame:
-        """a, b, together of (a, b, block, given, given_b, n, n_b): the pairs that share blocks enough.
-
-        A pair that links differs in at most floor((n + n_b) * 15 / 185) blocks, so it shares all
-        others that either gives.
-        """
-        differ = F.floor((F.col("n") + F.col("n_b")) * (100 - PERCENT) / (100 + PERCENT))
-        counts = met.groupBy("a", "b", F.expr("block & 1")).agg(F.count("*").alias("together"), (F.max(F.greatest("given", "given_b")) - F.max(differ)).alias("needed"))
-        return counts.filter(F.col("together") >= F.col("needed")).groupBy("a", "b").agg(F.max("together").alias("together"))
+        """a, b, together of (a, b, block, given, given_b, n, n_b): the pairs that share blocks enough."""
+        counts = met.groupBy("a", "b", F.expr("block & 1")).agg(F.count("*").alias("together"), (F.min(F.least("given", "given_b")) - F.max(differ)).alias("needed"), F.max(differ).alias("most"))
+        return counts.filter(F.col("together") >= F.col("needed")).groupBy("a", "b").agg(F.max("together").alias("together"), F.max("most").alias("most"))
 
-    hubs = shared.groupBy("block").agg(F.min(F.struct("row", "given", "n")).alias("hub"))
+    # the hub of a block is the row that shares the most blocks: it lies in the middle of its copies
+    hubs = shared.groupBy("block").agg(F.max(F.struct("c", "row", "given", "n")).alias("hub"))
     hubs = hubs.select("block", F.col("hub.row").alias("a"), F.col("hub.given").alias("given"), F.col("hub.n").alias("n"))
     others = shared.select("block", F.col("row").alias("b"), F.col("given").alias("given_b"), F.col("n").alias("n_b"))
-    sized = 100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")
-    star = written(candidates(others.join(hubs, "block").filter("a <> b").filter(sized)), "star")
+    sized = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    star = candidates(others.join(hubs, "block").filter("a <> b").filter(sized))
+    star = star.join(_of(sketches, "a", "l"), "a").join(_of(sketches, "b", "r"), "b").filter(_apart("l", "r") <= F.col("most")).select("a", "b", "together")
+    star = written(star, "star")
     best = star.groupBy("b").agg(F.max(F.struct("together", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
-    links = written(verify(best, row_sets), "links-1")
+    links = written(verify(best, row_sets, percent), "links-1")
     roots = components(links)
 
     def root(side: str) -> DataFrame:
@@ -304,18 +347,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     rest = star.select("a", "b").join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = written(links.union(verify(rest, row_sets)), "links-2")
-    roots = components(links)
+    links, roots = _with_links(links, written(verify(rest, row_sets, percent), "links-2"), roots)
 
     # what is left: rows of one block in different components that haven't met
     placed = shared.join(roots.withColumnRenamed("node", "row"), "row", "left").select("block", "row", "given", "n", F.coalesce("root", "row").alias("root"))
     mixed = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("block")
     open_rows = written(placed.join(mixed, "block"), "open-blocks")
-    other = open_rows.select("block", F.col("row").alias("b"), F.col("given").alias("given_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    met = open_rows.withColumnRenamed("row", "a").join(other, "block").filter(sized & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")))
+    left = open_rows.join(_of(sketches, "row", "l"), "row").withColumnRenamed("row", "a")
+    other = open_rows.join(_of(sketches, "row", "r"), "row").select(F.col("block").alias("block_b"), F.col("row").alias("b"), F.col("given").alias("given_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), *[f"r{k}" for k in range(SKETCH)])
+    near = _apart("l", "r") <= differ
+    met = left.join(other, (F.col("block") == F.col("block_b")) & sized & near & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")))
     across = candidates(met).select("a", "b").join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = written(links.union(verify(across, row_sets)), "links-3")
-    roots = components(links)
+    links, roots = _with_links(links, written(verify(across, row_sets, percent), "links-3"), roots)
 
     placed = rows.join(roots.withColumnRenamed("node", "row"), "row", "left").select("id", "n", F.coalesce("root", "row").alias("root"))
     least = placed.filter("n > 0").groupBy("root").agg(F.min("id").alias("least"))
@@ -323,12 +366,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, percent: int = NEAR_PERCENT) -> DataFrame:
     """The rows of ``df`` without those that have a component of a lesser id: one document of each group stays.
 
     Rows of a null id stay.  Of rows that repeat an id one stays.
     """
-    found = written(jaccard_components(df, id_col, text_col).select("id", "component_id"), "components")
+    found = written(jaccard_components(df, id_col, text_col, words, percent).select("id", "component_id"), "components")
     gone = found.filter("id <> component_id").select(F.col("id").alias("__gone")).distinct()
     kept = df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
     if found.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():

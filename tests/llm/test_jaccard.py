@@ -13,13 +13,13 @@ from .common import DATA, no_documents, odd_documents, words
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, n: int = 4) -> frozenset:
     w = [x.translate(LOWER) for x in words(text)]
-    return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
-    sets = [(i, shingles(t)) for i, t in rows]
+def brute(rows: list[tuple[int, str | None]], n: int = 4, percent: int = 85) -> dict[int, tuple[int, int]]:
+    sets = [(i, shingles(t, n)) for i, t in rows]
     root = {i: i for i, _ in sets}
 
     def find(x: int) -> int:
@@ -29,7 +29,7 @@ def brute(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i: (len(a), find(i)) for i, a in sets}
@@ -44,8 +44,8 @@ def test_documents_equal_brute_force(spark):
     assert got(jaccard.op1_blocked_product(spark, DATA)) == brute(rows)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_edited_copies_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,n_words,percent", [(0, 4, 85), (1, 5, 80), (2, 2, 60)])
+def test_edited_copies_equal_brute_force(spark, seed, n_words, percent):
     rng, rows = random.Random(seed), []
     while len(rows) < 900:
         n = rng.choice([3, 4, 5, 7, 9, 11, 14, 18, 23, 30, 60])
@@ -56,7 +56,7 @@ def test_edited_copies_equal_brute_force(spark, seed):
                 copy[rng.choice([0, -1, rng.randrange(len(copy))])] = f"new{rng.randrange(3)}"
             rows.append((len(rows), " ".join(copy + [f"end{k}" for k in range(rng.choice([0, 0, 0, 1, 2]))])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert got(jaccard.jaccard_components(df)) == brute(rows)
+    assert got(jaccard.jaccard_components(df, words=n_words, percent=percent)) == brute(rows, n_words, percent)
 
 
 def test_a_group_whose_members_meet_only_through_others(spark):

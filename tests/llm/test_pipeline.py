@@ -36,7 +36,7 @@ def test_each_decision_takes_effect(spark, stages):
     labels, benchmark = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("labels", "benchmark"))
     scores = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert ids(mild) == {r.id for r in scores if r.score < 0.5} and 0 < len(ids(docs)) - len(ids(mild))
-    groups = jaccard.jaccard_components(mild).collect()
+    groups = jaccard.jaccard_components(mild, words=5, percent=80).collect()
     assert ids(single) == {r.id for r in groups if r.id == r.component_id} and len(groups) > len(ids(single))
     hit = {r.id for r in decontaminate.contamination(single, benchmark).collect()}
     assert hit and ids(clean) == ids(single) - hit
