@@ -2,10 +2,12 @@
 
 Numbers, names and units are replaced by typed placeholders in benchmark items
 and documents alike; windows of the resulting templates are joined by hash.
-Where windows of an item meet those of a document on one diagonal, the slots
-must be consistent: each value of the item's slots stands for one value in the
-document and the reverse.  That catches verbatim copies and questions whose
-numbers or names were changed, and leaves chance matches of templates alone.
+Where windows of an item meet those of a document on one diagonal, they form
+stretches, and the slots of a stretch must be consistent: each value of the
+item stands for one value in the document (two values may get the same one).
+Of a stretch that isn't, the windows copied as they are still count.  That
+catches verbatim copies and questions whose numbers or names were changed, and
+leaves chance matches of templates alone.
 
 The windows of the benchmark are looked up inside tasks, in one pass over the
 documents, where their measured size allows a broadcast; beyond that the same
@@ -164,6 +166,25 @@ class Templates:
             rows.append(np.repeat(low[met], width) + ragged(width))
         return np.concatenate(at), np.concatenate(rows)
 
+    def agreeing(self, here: np.ndarray, shift: int, n: int, kind: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Those of the windows ``here`` (sorted, on one diagonal) that count.
+
+        A stretch of windows that touch counts whole if no value of the item stands for two there;
+        otherwise its windows with the item's own values count.
+        """
+        kept = []
+        for stretch in np.split(here, np.flatnonzero(np.diff(here) > n) + 1):
+            at = np.arange(stretch[0], stretch[-1] + n)
+            mine, other = self.value[at - shift], value[at]
+            slots = kind[at] > 0
+            pairs = set(zip(mine[slots].tolist(), other[slots].tolist(), strict=True))
+            if len(pairs) > len({m for m, _ in pairs}):
+                changed = np.concatenate([[0], np.cumsum(slots & (mine != other))])
+                begin = stretch - stretch[0]
+                stretch = stretch[changed[begin + n] == changed[begin]]
+            kept.append(stretch)
+        return np.concatenate(kept)
+
     def hits(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, float, int, int]]:
         """(text, item id, windows met, windows of the item, coverage, longest run, changed slots) of each text and item that agree."""
         template, value, kind, first = tokens(data, at)
@@ -177,19 +198,17 @@ class Templates:
         new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0) | (np.diff(shift, prepend=shift[0] - 1) != 0))
         found: dict[tuple[int, int], list] = {}
         for a, b in zip(new.tolist(), np.append(new[1:], len(doc)).tolist(), strict=True):
-            here = pos[a:b]
             n = int(self.length[row[a]])
+            here = self.agreeing(np.unique(pos[a:b]), int(shift[a]), n, kind, value)
+            if not len(here):
+                continue
             covered = np.unique(here[:, None] + np.arange(n))
-            theirs = covered - shift[a]
-            slots = np.flatnonzero(kind[covered] > 0)
-            mine, other = value[covered[slots]].tolist(), self.value[theirs[slots]].tolist()
-            if len(set(zip(mine, other, strict=True))) != len(set(mine)) or len(set(mine)) != len(set(other)):
-                continue  # one value stands for two
+            slots = covered[kind[covered] > 0]
             breaks = np.flatnonzero(np.diff(covered) > 1)
             run = int(np.diff(np.concatenate([[-1], breaks, [len(covered) - 1]])).max())
             met, longest, changed = found.setdefault((int(doc[a]), int(item[a])), [set(), 0, 0])
-            met.update((self.place[row[a:b]]).tolist())
-            found[int(doc[a]), int(item[a])][1:] = [max(longest, run), changed + sum(x != y for x, y in zip(mine, other, strict=True))]
+            met.update((here - shift[a]).tolist())
+            found[int(doc[a]), int(item[a])][1:] = [max(longest, run), changed + int((self.value[slots - shift[a]] != value[slots]).sum())]
         out = []
         for (d, i), (met, run, changed) in found.items():
             share = len(met) / int(self.n_windows[i])

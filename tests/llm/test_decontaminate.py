@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+
 from stridewell.llm import decontaminate as d
 
 from .common import DATA, PROSE, no_documents, odd_documents, words
@@ -120,6 +122,23 @@ def test_changed_values_are_caught_if_consistent(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6] and kept.columns == docs.columns
 
 
+def found(docs: list[str], items: list[str]) -> set[tuple[int, int]]:
+    """(document, item) by position."""
+    raw = [t.encode() for t in docs]
+    at = np.cumsum([0, *map(len, raw)])
+    return {(h[0], h[1]) for h in d.Templates(range(len(items)), items).hits(np.frombuffer(b"".join(raw), np.uint8), at)}
+
+
+def test_a_break_in_one_slot_leaves_the_rest():
+    item = "My sister buys 3 apples and 5 pears at the market; how many pieces of fruit does she carry home in her basket?"
+    docs = [
+        ITEM,
+        ITEM.replace("120 miles", "120 km"),  # copied but for one of two equal values
+        item.replace("3 apples", "4 apples").replace("5 pears", "4 pears"),  # two values get the same one
+    ]
+    assert found(docs, [ITEM, item]) == {(0, 0), (1, 0), (2, 1)}
+
+
 def test_joining_by_shuffle_gives_the_same(spark):
     docs, items = planted(spark)
     assert got(d.contamination(docs, items, broadcast_bytes=0)) == got(d.contamination(docs, items))
