@@ -1,7 +1,9 @@
 """Operator 10: benchmark decontamination by template canonicalisation.
 
 Numbers, names and units are replaced by typed placeholders in benchmark items
-and documents alike; windows of the resulting templates are joined by hash.
+and documents alike; windows of the resulting templates are joined by hash, and
+so are windows of the plain words in lower case: an item dense with numbers or
+names, or a copy in other capitals, has no template to be found by.
 Where windows of an item meet those of a document on one diagonal, they form
 stretches, and the slots of a stretch must be consistent: each value of the
 item stands for one value in the document (two values may get the same one).
@@ -108,21 +110,27 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.where(kind > 0, _MARK[kind], value), value, kind, first
 
 
-def windows(template: np.ndarray, kind: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the windows of n tokens inside one text with enough fixed tokens."""
-    if len(template) < n:
+def windows(words: np.ndarray, kind: np.ndarray, first: np.ndarray, n: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the windows of n tokens inside one text.
+
+    Of templates those with enough fixed tokens; of plain words (values) those with a slot, as the
+    others are templates already.
+    """
+    if len(words) < n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     fixed = np.concatenate([[0], np.cumsum(kind == 0)])
-    good = (text[: len(text) - n + 1] == text[n - 1 :]) & (fixed[n:] - fixed[:-n] >= min(MIN_FIXED, n))
-    return np.flatnonzero(good), mix(runs_hash(template, n) + np.uint64(n))[good]
+    fixed = fixed[n:] - fixed[:-n]
+    good = (text[: len(text) - n + 1] == text[n - 1 :]) & (fixed < n if plain else fixed >= min(MIN_FIXED, n))
+    return np.flatnonzero(good), mix(runs_hash(words, n) + np.uint64(n))[good]
 
 
 class Templates:
     """Windows of benchmark items, sorted by hash.
 
     An item of fewer tokens than a window has one window of its own length; one of fewer than
-    MIN_FIXED fixed tokens has none, as it can't be told from chance.
+    MIN_FIXED tokens has none, as it can't be told from chance.  A window of fewer than MIN_FIXED
+    fixed tokens is met by its plain words alone.
     """
 
     def __init__(self, ids: Sequence[int], texts: Sequence[str]):
@@ -133,7 +141,7 @@ class Templates:
         size = np.diff(self.first)
         owner = np.repeat(np.arange(len(size)), size)
         self.lengths = sorted({int(n) for n in np.minimum(size, WINDOW) if n >= MIN_FIXED})
-        place, keys, length = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        place, keys, length, templated = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
         # in the middle of a sentence the first word of an item looks like a name
         led, led_kind = template.copy(), self.kind.copy()
         heads = self.first[:-1][size > 0]
@@ -143,7 +151,9 @@ class Templates:
             p, h = windows(template, self.kind, self.first, n)
             p2, h2 = windows(led, led_kind, self.first, n)
             again = np.isin(p2, heads)
-            p, h = np.concatenate([p, p2[again]]), np.concatenate([h, h2[again]])
+            templated.append(p[np.minimum(size[owner[p]], WINDOW) == n])
+            p3, h3 = windows(self.value, self.kind, self.first, n, plain=True)
+            p, h = np.concatenate([p, p2[again], p3]), np.concatenate([h, h2[again], h3])
             mine = size[owner[p]] == n if n < WINDOW else size[owner[p]] >= n
             place.append(p[mine])
             keys.append(h[mine])
@@ -153,17 +163,21 @@ class Templates:
         self.place, self.keys, self.length = place[order], keys[order], length[order]
         self.item = owner[self.place] if len(self.place) else self.place
         self.n_windows = np.bincount(owner[np.unique(self.place)], minlength=len(size)) if len(self.place) else np.zeros(len(size), np.int64)
+        # those that are found with other values too
+        self.templated = np.zeros(len(owner), bool)
+        self.templated[np.concatenate([np.zeros(0, np.int64), *templated])] = True
+        self.n_templated = np.bincount(owner[self.templated], minlength=len(size))
 
-    def find(self, template: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, template: np.ndarray, value: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in the texts, row of a window here) of every meeting."""
         at, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in self.lengths:
-            p, h = windows(template, kind, first, n)
-            low, high = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
-            met = np.flatnonzero(high > low)
-            width = (high - low)[met]
-            at.append(np.repeat(p[met], width))
-            rows.append(np.repeat(low[met], width) + ragged(width))
+            for p, h in (windows(template, kind, first, n), windows(value, kind, first, n, plain=True)):
+                low, high = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
+                met = np.flatnonzero(high > low)
+                width = (high - low)[met]
+                at.append(np.repeat(p[met], width))
+                rows.append(np.repeat(low[met], width) + ragged(width))
         return np.concatenate(at), np.concatenate(rows)
 
     def agreeing(self, here: np.ndarray, shift: int, n: int, kind: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -188,7 +202,7 @@ class Templates:
     def hits(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, float, int, int]]:
         """(text, item id, windows met, windows of the item, coverage, longest run, changed slots) of each text and item that agree."""
         template, value, kind, first = tokens(data, at)
-        pos, row = self.find(template, kind, first)
+        pos, row = self.find(template, value, kind, first)
         if not len(pos):
             return []
         doc = np.searchsorted(first, pos, "right") - 1
@@ -211,9 +225,14 @@ class Templates:
             found[int(doc[a]), int(item[a])][1:] = [max(longest, run), changed + int((self.value[slots - shift[a]] != value[slots]).sum())]
         out = []
         for (d, i), (met, run, changed) in found.items():
-            share = len(met) / int(self.n_windows[i])
+            # of all windows, or of those that other values leave as they are, whichever is the larger share
+            n, of = len(met), int(self.n_windows[i])
+            m, among = int(self.templated[list(met)].sum()), int(self.n_templated[i])
+            if m * of > n * among:
+                n, of = m, among
+            share = n / of
             if share >= COVERAGE or run >= RUN:
-                out.append((d, int(self.ids[i]), len(met), int(self.n_windows[i]), share, run, changed))
+                out.append((d, int(self.ids[i]), n, of, share, run, changed))
         return out
 
 
@@ -250,10 +269,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in blocks(batches):
-            template, _, kind, first = tokens(data, at)
+            template, value, kind, first = tokens(data, at)
             row = np.repeat(np.arange(batch.num_rows), np.diff(first))
             for n in range(MIN_FIXED, WINDOW + 1):
-                p, h = windows(template, kind, first, n)
+                p, h = (np.concatenate(x) for x in zip(windows(template, kind, first, n), windows(value, kind, first, n, plain=True), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[p])), pa.array(h.view(np.int64))], ["id", "key"])
 
     pairs = own.mapInArrow(doc_windows, "id long, key long").join(items.mapInArrow(item_windows, "key long, item_id long, item_text string"), "key").select("id", "item_id", "item_text").distinct()

@@ -139,6 +139,19 @@ def test_a_break_in_one_slot_leaves_the_rest():
     assert found(docs, [ITEM, item]) == {(0, 0), (1, 0), (2, 1)}
 
 
+def test_dense_items_and_copies_in_other_capitals():
+    items = ["What is 37 + 48?", "Compute 12 * 7 + 5 * 9 - 3 * 8.", "Yesterday Alice gave Bob two apples and Carol three pears before Dave went home"]
+    lead = "It was said over and over in the old village. "
+    docs = [lead + items[0], lead + items[1], lead + items[2], lead + items[2].lower(), lead + items[2].upper(), lead + "What is 12 + 5?", lead + items[2].replace("Alice", "Zoe").replace("apples", "plums")]
+    assert found(docs, items) == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 2)}
+
+
+def test_plain_windows_leave_the_share_of_templates():
+    item = "In the 3 long lists we count 12 7 5 9 31 8 44 6 52 17 23 91 4 60 75 2"
+    other = "In the 4 long lists we count 13 1 2 3 4 5 6 7 8 9 10 11 14 15 16 18"
+    assert found([other], [item]) == {(0, 0)}
+
+
 def test_joining_by_shuffle_gives_the_same(spark):
     docs, items = planted(spark)
     assert got(d.contamination(docs, items, broadcast_bytes=0)) == got(d.contamination(docs, items))
