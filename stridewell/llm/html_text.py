@@ -4,7 +4,8 @@ A page is a sequence of words and tags.  Words score by where they stand (the
 tags, classes and ids around them), tags score below zero, and one linear scan
 finds the contiguous region of the highest sum.  The weights are log-odds
 learned from labelled pages: those that mark their main text with <article> or
-<main>.  Pages without such a mark are scored by the same weights.
+<main>.  Pages without such a mark, or whose marked elements hold no words but
+those of comments and the like, are scored by the same weights.
 
 Inside the region, runs of text in elements of a clearly negative weight
 (adverts, comments, forms and the like) are masked, and the rest is returned in
@@ -38,12 +39,16 @@ BAD_TAGS = ("nav", "aside", "footer", "header", "form", "button", "menu", "dialo
 BAD_NAMES = ("ad", "ads", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget")
 GOOD_NAMES = ("article", "p", "main", "h1", "h2", "h3", "h4", "blockquote", "pre", "content", "entry", "post", "story")
 
+#: Runs of text that the lists above stand for, so that some more in labelled pages decide.
 PSEUDO = 20.0
 DECISIVE = -1.0
 TAG_SCORE = -0.25
 #: Score of a masked word outside the main text, and of any word outside it on a page that marks it.
 MASKED = -0.5
 OUTSIDE = -3.0
+#: An element with such a share of the page's words and one of these elements in it wraps the page; its names mask nothing.
+WRAPS = 0.9
+LANDMARKS = ("h1", "main", "nav")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -54,9 +59,15 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
+_STATE = re.compile(r"(?:has|with|no|without)[-_]")
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
+def _parts(name: str) -> list[str]:
+    """Parts of a class, id or role; one that says what is around ("has-sidebar") stays whole."""
+    return [name] if _STATE.match(name) else _PART.findall(name)
+
+
 def runs(page: str) -> Iterator[tuple[str, bool, tuple[frozenset[str], ...], bool]]:
     """(text or tag name, whether it is text, features of the elements around it, whether a tag breaks a block), in page order."""
     stack: list[tuple[str, frozenset[str]]] = []
@@ -87,36 +98,42 @@ def runs(page: str) -> Iterator[tuple[str, bool, tuple[frozenset[str], ...], boo
                 if not any(t in ("ul", "ol", "menu") for t, _ in stack[k:]):
                     del stack[k:]
             if tag not in VOID and not m["rest"].endswith("/"):
-                names = {"." + p for g in _NAMES.findall(m["rest"]) for p in _PART.findall("".join(g).lower())}
+                names = {"." + p for g in _NAMES.findall(m["rest"]) for w in "".join(g).lower().split() for p in _parts(w)}
                 stack.append((tag, frozenset(names | {tag})))
         yield tag, False, (), tag not in INLINE
     if at < len(page):
         yield page[at:], True, tuple(f for _, f in stack), False
 
 
-def _has_main(page: str) -> bool:
-    return any(f"<{m}" in page.lower() for m in MAIN)
-
-
 def _inside(around: tuple[frozenset[str], ...]) -> bool:
     return any(f & set(MAIN) for f in around)
 
 
+def _labelled(around: tuple[frozenset[str], ...]) -> bool:
+    """Whether text there is in a main element that neither is nor stands in one given as boilerplate."""
+    for names in around:
+        if not names & {"html", "body"} and any(_prior(n)[1] > 1.0 for n in names):
+            return False
+        if names & set(MAIN):
+            return True
+    return False
+
+
 def _prior(name: str) -> tuple[float, float]:
     bare = name.lstrip(".")
     if name in BAD_TAGS or name.startswith(".") and bare in BAD_NAMES:
-        return 1.0, PSEUDO * 50
+        return 1.0, PSEUDO
     return (PSEUDO, 1.0) if bare in GOOD_NAMES else (1.0, 1.0)
 
 
 def learn_counts(page: str) -> Counter:
-    """Runs of text with each feature, inside and outside the main text of a labelled page."""
+    """Runs of text with each feature, inside and outside the main text; none of a page without one."""
     counts: Counter = Counter()
     for text, is_text, around, _ in runs(page):
         if is_text and text.strip():
             for name in set().union(*around):
-                counts[name, _inside(around)] += 1
-    return counts
+                counts[name, _labelled(around)] += 1
+    return counts if any(inside for _, inside in counts) else Counter()
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_train: int = MAX_TRAIN) -> dict[str, float]:
@@ -124,7 +141,9 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max
 
     Without labelled pages only the values given beforehand remain.
     """
-    labelled = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html")).filter(F.lower("html").rlike("<(article|main)[\\s>]"))
+    marked = "(?i)<(article|main)[\\s>]"
+    labelled = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html")).filter(F.col("html").rlike(marked))
+    labelled = labelled.filter(F.regexp_replace("html", "(?is)<!--.*?-->|<(script|style|template|textarea)\\b.*?</\\1\\s*>", " ").rlike(marked))
     # first the ids alone, then only their pages
     ids = labelled.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_train)
     chosen = labelled.join(F.broadcast(ids), "id").select("html")
@@ -147,6 +166,11 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max
     return out
 
 
+def _decides(name: str, weights: dict[str, float]) -> bool:
+    """Whether a name or element stands for boilerplate."""
+    return weights.get(name, 0.0) < DECISIVE and (name.startswith(".") or name in BAD_TAGS)
+
+
 def _word_weight(around: tuple[frozenset[str], ...], weights: dict[str, float], has_main: bool) -> tuple[float, bool]:
     """(score of a word there, whether the text is masked)."""
     inside = False
@@ -157,7 +181,7 @@ def _word_weight(around: tuple[frozenset[str], ...], weights: dict[str, float],
         for n in names:
             w = weights.get(n, 0.0)
             # a name or element that stands for boilerplate decides; other elements only sway
-            if w < DECISIVE and (n.startswith(".") or n in BAD_TAGS) and not (n == "header" and inside):
+            if _decides(n, weights) and not (n == "header" and inside):
                 return (0.0 if inside else MASKED), True
             soft.append(w)
     if has_main and not inside:
@@ -165,14 +189,50 @@ def _word_weight(around: tuple[frozenset[str], ...], weights: dict[str, float],
     return 1.0 + max(-0.7, min(2.0, sum(soft) / len(soft) if soft else 0.0)), False
 
 
+def _spared(parts: list[tuple], weights: dict[str, float]) -> dict[tuple, tuple]:
+    """Features around each run of text without those that mask, where the element wraps the page."""
+    size: Counter = Counter()
+    for text, is_text, around, _ in parts:
+        if is_text:
+            size[around] += len(text.split())
+    words: Counter = Counter()
+    marks = set()
+    for around, n in size.items():
+        for k, names in enumerate(around):
+            if any(_decides(x, weights) for x in names):
+                words[around[: k + 1]] += n
+                if n and any(f & set(LANDMARKS) for f in around[k + 1 :]):
+                    marks.add(around[: k + 1])
+    most = WRAPS * size.total()
+
+    def own(around: tuple, k: int) -> frozenset[str]:
+        names, path = around[k], around[: k + 1]
+        if names & {"html", "body"} or path in marks and words[path] >= most:
+            return frozenset(n for n in names if not _decides(n, weights) or n in BAD_TAGS and n != "form")
+        return names
+
+    return {around: tuple(own(around, k) for k in range(len(around))) for around in size}
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
     """The blocks of the best region, joined by two line ends; empty if there is none."""
-    has_main = _has_main(page)
+    parts = list(runs(page))
+    spared = _spared(parts, weights)
+    parts = [(text, is_text, spared[around] if is_text else around, breaks) for text, is_text, around, breaks in parts]
+    open_main = {around for around in spared.values() if _inside(around) and not _word_weight(around, weights, False)[1]}
+    if any(is_text and around in open_main and text.strip() for text, is_text, around, _ in parts):
+        found = _best_region(parts, weights, True)
+        if found:
+            return found
+    return _best_region(parts, weights, False)
+
+
+def _best_region(parts: list[tuple], weights: dict[str, float], has_main: bool) -> str:
     items: list[tuple[str | None, bool]] = []  # text to keep (None for a tag or masked text), whether a block ends here
     best = total = 0.0
     best_at, begin = (0, 0), 0
     known: dict[tuple, tuple[float, bool]] = {}
-    for text, is_text, around, breaks in runs(page):
+    for text, is_text, around, breaks in parts:
         if is_text:
             if around not in known:
                 known[around] = _word_weight(around, weights, has_main)

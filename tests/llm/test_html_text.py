@@ -34,6 +34,38 @@ def test_known_pages(spark):
         assert html_text.main_text(page(wrap), weights) == WANT, wrap
 
 
+def test_marks_count_only_where_they_hold_the_text(spark):
+    weights = learned(spark)
+    wrap = "<div class=entry-content>{}</div>"
+    for before, after in [
+        ("", "<article class=comment><p>I think so too, and so does everyone here.</p></article>"),
+        ("<script>var s = '<main>';</script>", ""),
+        ("<!-- <article> -->", ""),
+        ("<main-nav></main-nav><article-card></article-card>", ""),
+        ("<main> &nbsp; </main>", ""),
+    ]:
+        assert html_text.main_text(page(before + wrap + after), weights) == WANT, (before, after)
+
+
+def test_wrappers_of_the_page_mask_nothing(spark):
+    weights = learned(spark)
+    for wrap in ("<article>{}</article>", "<div class=content>{}</div>"):
+        p = page(wrap)
+        assert html_text.main_text(p.replace("<body>", "<body class='has-sidebar sidebar'>"), weights) == WANT
+        for names in ("id=page class=with-sidebar", "class=sidebar-left"):
+            assert html_text.main_text(p.replace("<body>", f"<body><div {names}>").replace("</body>", "</div></body>"), weights) == WANT, names
+    assert html_text.main_text("<body><nav><ul><li>Home<li>News</ul></nav><div class=cookies>Accept all</div></body>", weights) == ""
+
+
+def test_labelled_pages_decide(spark):
+    pages = [(i, "<body><article><div class=banner>" + "<p>words of the piece</p>" * 4 + "</div></article><footer>end</footer></body>") for i in range(20)]
+    # what stands in elements of the list is no label of its own
+    pages += [(100 + i, "<body><p>text</p><article class=comment><p>me too</p></article></body>") for i in range(60)]
+    weights = html_text.learn(spark.createDataFrame(pages, "page_id long, html string"))
+    assert weights[".banner"] > 0 and weights[".comment"] < html_text.DECISIVE
+    assert html_text.main_text("<body><div class=banner><p>more words of it</p></div></body>", weights) == "more words of it"
+
+
 def test_pages_of_the_table(spark):
     out = {r.page_id: r for r in html_text.op5_best_region(spark, DATA).collect()}
     pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
