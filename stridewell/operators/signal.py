@@ -1,17 +1,19 @@
 """Resampling and fixed-length windows of recordings.
 
-A recording becomes one row of arrays in one shuffle; what follows are expressions on that row.
-Its size is that of one recording, not of the data.
+Series of any length (``resampled_rows``, ``windows_of_rows``) stay rows: they are numbered by range
+partitions, and a window is a group of its own samples.  Recordings known to fit one row each can be
+taken as arrays (``resample``, ``windows``), in one shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHANNELS, FALL_CODES
+from ..llm.shared import written
 
 
 def task_label(task: str, code: Column) -> Column:
@@ -47,6 +49,46 @@ def resample(df: DataFrame, keys: Sequence[str], order: Sequence[str], channels:
     return out.withColumn("sig", F.array(*arrays)).select(*keys, "n", "m", "sig")
 
 
+def resampled_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], channels: Mapping[str, str | None] | Sequence[str] = CHANNELS, ratio: float = 4.0) -> DataFrame:
+    """keys, n, m, j and ``v``, an array of one float for each channel: the samples of ``resample``, one a row.
+
+    Rows are sorted by range partitions, which part a long series too; a row's position is its number
+    in its part and the sizes of the parts before.  The row yields the outputs between it and the next.
+    """
+    named = channels if isinstance(channels, Mapping) else {c: c for c in channels}
+    present = [c for c in named.values() if c is not None]
+    key = [f"k{i}" for i in range(len(keys))]
+    sort = [*key, *(f"o{i}" for i in range(len(order))), *(f"v{i}" for i in range(len(present)))]
+    own = df.select(*[F.col(c).alias(k) for c, k in zip(keys, key, strict=True)], *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(present)])
+    # written, as a second run could draw other bounds
+    rows = written(own.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("part", F.spark_partition_id()), "series")
+    inside = Window.partitionBy(*key, "part").orderBy(*sort)
+    here = F.struct(*[f"v{i}" for i in range(len(present))], F.lit(0).alias("some"))
+    rows = rows.select(*key, "part", here.alias("here"), (F.row_number().over(inside) - 1).cast("bigint").alias("at"), F.lead(here).over(inside).alias("after"))
+    whole = Window.partitionBy(*key)
+    parts = rows.groupBy(*key, "part").agg(F.count("*").alias("size"), F.min_by("here", "at").alias("head"))
+    before = whole.orderBy("part")
+    parts = parts.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("part").alias("_part"), F.sum("size").over(whole).alias("n"), (F.sum("size").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("base"), F.lead("head").over(before).alias("next"))
+    same = F.col("part") == F.col("_part")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = rows.join(parts, same).withColumn("m", target_length(F.col("n"), ratio)).withColumn("i", F.col("at") + F.col("base"))
+    out = out.withColumn("after", F.coalesce("after", "next", "here"))
+    out = out.withColumn("lo", F.expr("(i * m + n - 1) div n")).withColumn("hi", F.expr("((i + 1) * m + n - 1) div n - 1"))
+    out = out.filter("lo <= hi").select("*", F.explode(F.expr("sequence(lo, hi)")).alias("j")).withColumn("rest", F.expr("(j * n) % m"))
+    value = [F.lit(0.0).cast("float") if c is None else F.expr(f"cast(if(rest = 0, here.v{i}, here.v{i} + (after.v{i} - here.v{i}) * rest / m) as float)") for c, i in ((c, present.index(c) if c is not None else 0) for c in named.values())]
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keys, key, strict=True)], "n", "m", "j", F.array(*value).alias("v"))
+
+
+def windows_of_rows(rows: DataFrame, keys: Sequence[str], win: int = 50, step: int = 25) -> DataFrame:
+    """The windows of ``windows`` from samples of ``resampled_rows``: a group of ``win`` rows each."""
+    first, last = f"greatest(0L, (j - {win} + {step}) div {step})", f"least(j div {step}, (m - {win}) div {step})"
+    at = rows.filter(f"m >= {win}").withColumn("__first", F.expr(f"if(j < {win}, 0L, {first})")).withColumn("__last", F.expr(last))
+    each = at.filter("__first <= __last").select(*keys, "j", "v", F.explode(F.expr("sequence(__first, __last)")).alias("widx"))
+    cut = each.groupBy(*keys, "widx").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("__rows"))
+    return cut.select(*keys, F.col("widx").cast("int").alias("widx"), F.expr("transform(sequence(0, size(__rows[0].v) - 1), c -> transform(__rows, s -> s.v[c]))").alias("x"))
+
+
 def samples(resampled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, ch, j, v: one row for each sample."""
     per = resampled.select(*keys, F.posexplode("sig").alias("ch", "values"))
@@ -70,8 +112,6 @@ def flatten_window(x: str = "x") -> Column:
 
 def runs_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, code: str) -> DataFrame:
     """Numbers the stretches of consecutive rows with the recording's label, for callers that don't want them joined."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(*order)
     own = F.coalesce(F.col(label) == F.col(code), F.lit(False))
     marked = df.withColumn("__own", own).withColumn("__begin", (F.col("__own") & ~F.lag("__own", 1, False).over(w)).cast("int"))

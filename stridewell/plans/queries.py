@@ -52,19 +52,19 @@ L_CHANNELS = {"acc_x": "l_quantity", "acc_y": "l_extendedprice", "acc_z": "l_dis
 
 
 def e_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.resample(table(spark, sf_dir, "events"), E_KEYS, ("ts", "event_id"), {"value": "value"}, 2.0)
+    return signal.resampled_rows(table(spark, sf_dir, "events"), E_KEYS, ("ts", "event_id"), {"value": "value"}, 2.0)
 
 
 def e_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.windows(e_resampled(spark, sf_dir), E_KEYS, 8, 4)
+    return signal.windows_of_rows(e_resampled(spark, sf_dir), E_KEYS, 8, 4)
 
 
 def l_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.resample(table(spark, sf_dir, "lineitem"), L_KEYS, L_ORDER, L_CHANNELS, 4.0)
+    return signal.resampled_rows(table(spark, sf_dir, "lineitem"), L_KEYS, L_ORDER, L_CHANNELS, 4.0)
 
 
 def l_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.windows(l_resampled(spark, sf_dir), L_KEYS)
+    return signal.windows_of_rows(l_resampled(spark, sf_dir), L_KEYS)
 
 
 def _sql_resample(source: str, keys: str, order: str, columns: tuple[str, ...], ratio: float) -> str:
@@ -145,8 +145,7 @@ def c_resample_len(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_E} select user_id, j, round(y0::double, 4) v from g")
 def c_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = signal.samples(e_resampled(spark, sf_dir), E_KEYS)
-    return long.select("user_id", F.col("j").cast("bigint").alias("j"), r(F.col("v").cast("double"), 4).alias("v"))
+    return e_resampled(spark, sf_dir).select("user_id", "j", r(F.col("v")[0].cast("double"), 4).alias("v"))
 
 
 @query(f"with {_L_WIN} select l_suppkey, l_returnflag, widx, round(avg(y0::double), 3) c0, round(avg(y1::double), 2) c1, round(avg(y2::double), 4) c2, round(avg(y3::double), 4) c3, 0.0::double c4, 0.0::double c5 from w group by 1, 2, 3")
@@ -162,8 +161,9 @@ def c_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_L} select l_suppkey, l_returnflag, m, 0::bigint n_windows from s where m between 45 and 49")
 def c_min_len_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = l_resampled(spark, sf_dir)
-    n = signal.windows(series, L_KEYS).groupBy(*L_KEYS).agg(F.count("*").alias("n_windows"))
+    rows = l_resampled(spark, sf_dir)
+    series = rows.filter("j = 0").select(*L_KEYS, "m")
+    n = signal.windows_of_rows(rows, L_KEYS).groupBy(*L_KEYS).agg(F.count("*").alias("n_windows"))
     return series.filter(F.col("m").between(45, 49)).join(n, list(L_KEYS), "left").select(*L_KEYS, "m", F.coalesce("n_windows", F.lit(0)).alias("n_windows"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from stridewell.operators import signal, stats
 
+from .conftest import DATA
+
 
 def series(spark, values):
     return spark.createDataFrame([(1, i, None if v is None else float(v)) for i, v in enumerate(values)], "rec long, i long, v double")
@@ -58,6 +60,28 @@ def test_flatten_is_time_then_channel(spark):
     assert df.select(signal.flatten_window().alias("f")).first().f == [1, 4, 2, 5, 3, 6]
 
 
+@pytest.mark.parametrize("ratio,win,step", [(4.0, 50, 25), (1.0, 8, 4), (0.4, 7, 9), (2.0, 50, 60)])
+def test_rows_equal_arrays_and_a_long_series_is_parted(spark, ratio, win, step):
+    # one key has most rows; some are null, NaN or equal, and a key is null
+    size = {1: 3000, 2: 201, 3: 1, None: 77}
+    rows = [(k, i // 2, None if i % 17 == 3 else float("nan") if i % 19 == 4 else float((i * 7919) % 101), float(i)) for k, n in size.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "rec long, i long, v double, w double").repartition(3)
+    args = ["rec"], ["i"], {"v": "v", "none": None, "w": "w"}, ratio
+    long, wide = signal.resampled_rows(df, *args), signal.resample(df, *args)
+    got = {(r.rec, r.n, r.m, r.j): str(r.v) for r in long.collect()}
+    want = {(r.rec, r.n, r.m, j): str([c[j] for c in r.sig]) for r in wide.collect() for j in range(r.m)}
+    assert got == want
+    cut = lambda out: sorted(str((r.rec, r.widx, r.x)) for r in out.collect())
+    assert cut(signal.windows_of_rows(long, ["rec"], win, step)) == cut(signal.windows(wide, ["rec"], win, step))
+
+
+def test_queries_keep_no_series_in_a_row(spark):
+    from stridewell.plans import queries
+
+    for f in (queries.e_resampled, queries.l_resampled):
+        assert "collect_list" not in f(spark, DATA)._jdf.queryExecution().toString()
+
+
 def test_runs_are_told_apart(spark):
     df = spark.createDataFrame([(1, i, lab, "A") for i, lab in enumerate("AABAAB")], "rec long, i long, label string, code string")
     assert [r.run for r in signal.runs_split(df, ["rec"], ["i"], "label", "code").orderBy("i").collect()] == [1, 1, 2, 2]
