@@ -13,8 +13,8 @@ leaves chance matches of templates alone.
 
 The windows of the benchmark are looked up inside tasks, in one pass over the
 documents, where their measured size allows a broadcast; beyond that the same
-windows are joined by a shuffle, and each document meets only the items that
-share a window with it.
+windows are joined by a shuffle as narrow rows, and texts are fetched only for
+the pairs of a document and an item that share windows enough for a hit.
 """
 
 from __future__ import annotations
@@ -40,6 +40,10 @@ SHOUTED = 4
 #: Bytes of benchmark text that are broadcast at most (their arrays take about ten times that).
 BROADCAST_BYTES = 16 << 20
 
+#: Beyond so many items a window is salted, its documents over so many groups.
+HOT = 1_000
+SALTS = 16
+
 # Words that stand for units of measure.
 UNITS = """
 mm cm m km inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers
@@ -261,34 +265,72 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return own.mapInArrow(run, HITS)
 
+    return _joined(own, items)
+
+
+def _enough(places: list[int], n: int, least: int) -> bool:
+    """Whether windows at these places of an item, on whatever diagonals, could make a hit."""
+    if len(places) >= COVERAGE * least:
+        return True
+    covered = np.unique(np.add.outer(np.array(places, np.int64), np.arange(n)))
+    edges = np.flatnonzero(np.diff(covered, prepend=covered[0] - 2, append=covered[-1] + 2) > 1)
+    return int(np.diff(edges).max()) >= RUN
+
+
+def _joined(own: DataFrame, items: DataFrame) -> DataFrame:
+    """HITS by a shuffle join; documents are known by a hash of their text, whatever their id."""
+
     def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = Templates([i], [text])
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(t.keys).view(np.int64)), pa.array([i] * len(np.unique(t.keys)), pa.int64()), pa.array([text] * len(np.unique(t.keys)), pa.string())], ["key", "item_id", "item_text"])
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                t = Templates([0], [text])
+                if len(t.keys):
+                    least = int(min(c for c in (t.n_windows[0], t.n_templated[0]) if c))
+                    item = batch.column(0).take(pa.array(np.full(len(t.keys), k)))
+                    yield pa.RecordBatch.from_arrays([pa.array(t.keys.view(np.int64)), item, pa.array(t.place, pa.int32()), pa.array(t.length, pa.int32()), pa.array(np.full(len(t.keys), least), pa.int32())], ["key", "item", "place", "n", "least"])
+
+    items = items.withColumn("item", F.unhex(F.md5(F.concat_ws(":", "item_id", "item_text"))))
+    mine = written(items.select("item", "item_text").mapInArrow(item_windows, "key long, item binary, place int, n int, least int"), "item-windows")
+    lengths = sorted(r.n for r in mine.select("n").distinct().collect())
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in blocks(batches):
             template, value, kind, first = tokens(data, at)
             row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            for n in range(MIN_FIXED, WINDOW + 1):
+            for n in lengths:
                 p, h = (np.concatenate(x) for x in zip(windows(template, kind, first, n), windows(value, kind, first, n, plain=True), strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[p])), pa.array(h.view(np.int64))], ["id", "key"])
-
-    pairs = own.mapInArrow(doc_windows, "id long, key long").join(items.mapInArrow(item_windows, "key long, item_id long, item_text string"), "key").select("id", "item_id", "item_text").distinct()
-    # as many items as a document's own windows meet, at most
-    met = pairs.groupBy("id").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+                order = np.lexsort((h, row[p]))
+                r, h = row[p][order], h[order]
+                new = (np.diff(r, prepend=-1) != 0) | (np.diff(h, prepend=~h[:1]) != 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r[new])), pa.array(h[new].view(np.int64))], ["doc", "key"])
+
+    keyed = own.withColumn("doc", F.unhex(F.md5("text")))
+    texts = keyed.select("doc", "text").dropDuplicates(["doc"])
+    # hot windows: at most one in HOT of the benchmark's
+    hot = F.broadcast(mine.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("deal")))
+    deal, salts = F.coalesce("deal", F.lit(1)), F.when(F.col("deal").isNull(), 1).otherwise(SALTS)
+    left = texts.mapInArrow(doc_windows, "doc binary, key long").join(hot, "key", "left").select("doc", "key", F.pmod(F.xxhash64("doc"), salts).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), deal - 1)).alias("dealt"))
+    right = mine.join(hot, "key", "left").select("item", "key", "place", "n", "least", F.pmod(F.xxhash64("item"), deal).cast("int").alias("dealt"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    # as many places as the item has windows, at most
+    met = left.join(right, ["key", "salt", "dealt"]).groupBy("doc", "item", "n", "least").agg(F.collect_set("place").alias("places"))
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, least, places = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array([_enough(*x) for x in zip(places, n, least, strict=True)], pa.bool_())) for c in batch.columns[:2]], ["doc", "item"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                of = row.column(2)[0].as_py()
-                t = Templates([x["item_id"] for x in of], [x["item_text"] for x in of])
-                text = np.frombuffer(row.column(1)[0].as_py().encode(), np.uint8)
-                yield _rows(row, t.hits(text, np.array([0, len(text)])))
-
-    return own.join(met, "id").select("id", "text", "items").mapInArrow(check, HITS)
+            _, doc, text, item_id, item_text = (batch.column(k).to_pylist() for k in range(5))
+            found = []
+            for k, body in enumerate(text):
+                raw = np.frombuffer(body.encode(), np.uint8)
+                found += [(k, *h[1:]) for h in Templates([item_id[k]], [item_text[k]]).hits(raw, np.array([0, len(raw)]))]
+            yield pa.RecordBatch.from_arrays([pa.array([doc[h[0]] for h in found], pa.binary()), *(pa.array([h[k] for h in found], _ARROW[k].type) for k in range(1, 7))], ["doc", *_ARROW.names[1:]])
+
+    pairs = met.mapInArrow(filtered, "doc binary, item binary").join(texts, "doc").join(items, "item")
+    hits = pairs.select("item", "doc", "text", "item_id", "item_text").mapInArrow(check, HITS.replace("id long", "doc binary", 1))
+    return keyed.select("id", "doc").join(hits, "doc").select(*_ARROW.names)
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:

@@ -159,6 +159,17 @@ def test_joining_by_shuffle_gives_the_same(spark):
     assert got(d.contamination(docs, items, broadcast_bytes=0)) == got(d.contamination(docs, items))
 
 
+def test_join_keeps_null_ids_and_repeats_with_hot_windows(spark, monkeypatch):
+    monkeypatch.setattr(d, "HOT", 5)
+    stock = "Which of the following is the right answer to this question about"
+    names = [w * 3 for w in "abcdefghijklmnopqrstuvwxyz"]
+    items = spark.createDataFrame([(i, f"{stock} {' '.join(names[(i + k * 5) % 26] + names[k] for k in range(25))}") for i in range(26)], "item_id long, text string")
+    texts = {r.item_id: r.text for r in items.collect()}
+    docs = spark.createDataFrame([(None, texts[3]), (None, texts[3]), (7, texts[4]), (7, texts[4]), (8, f"{stock} nothing"), (9, f"{texts[5]} {texts[6].upper()}")], "doc_id long, text string")
+    out = [sorted(map(str, d.contamination(docs, items, broadcast_bytes=b).collect())) for b in (0, d.BROADCAST_BYTES)]
+    assert out[0] == out[1] and len(out[0]) == 6
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     items = spark.createDataFrame([(1, PROSE), (1, PROSE), (2, ""), (3, None), (None, PROSE)], "item_id long, text string")
