@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stridewell.llm.decontaminate import drop_contaminated
 from stridewell.llm.jaccard import keep_one
 from stridewell.llm.secrets import redact
-from stridewell.llm.shared import written
+from stridewell.shared import written
 from stridewell.llm.text import read_table
 from stridewell.llm.toxicity import drop_toxic, train
 from stridewell.llm.unigram import encode

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHANNELS, FALL_CODES
-from ..llm.shared import written
+from ..shared import written
 
 
 def task_label(task: str, code: Column) -> Column:
