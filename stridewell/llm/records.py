@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from ..shared import shared_folder
 from .text import PerPiece, blocks, id_and_text, read_table
 
 #: Fixed values of the record format: the mask of checksums, and the reversed polynomial of CRC-32C.

@@ -13,7 +13,7 @@ from pyarrow import fs
 from tokenizers import Tokenizer
 
 from stridewell.llm import records
-from stridewell.llm.shared import shared_folder
+from stridewell.shared import shared_folder
 
 from .common import DATA, no_documents, odd_documents
 
