@@ -6,18 +6,20 @@ its transpose; a pair links if 100 * overlap >= percent * union.  Two bounds fol
 from the sizes s and t alone, here for 85 percent: the smaller has at least 0.85 of
 the larger, and at most d = floor((s + t) * 15 / 185) n-grams stand in only one.
 
-Columns are dealt into more than d blocks by hash, so a pair within the bounds
-has blocks on which both rows are identical, all but d of those that either row
-gives.  A row that shares too few in all goes.  Counts of shared blocks add up by
-pair, and the product is formed only for pairs that reach that number and whose
-parity sketches differ in d bits at most.  For them overlaps accumulate block of
-columns by block, and a pair is dropped as soon as what remains can't reach its
-bound.
-
-Links are wanted for what they connect.  Rows of a shared block first meet one
-row each (a star, linear in the block); then the members of blocks that still
-hold several components meet across those, which leaves no link out.  There sketches
-are compared inside the join, so a pair beyond the bound never becomes a row.
+Which tiles of the product to form: columns are dealt into more than d blocks by
+hash, so a pair within the bounds is identical on all but d of the blocks that
+either row gives.  So a row must share at least ``need`` of its blocks with any
+partner, and, with blocks in one order for all (rarest first), one of the first
+c - need + 1 of the c that it shares at all.  Only those are kept: blocks of
+boilerplate, which many rows share, come last, and a row that shares too few has none.
+
+Links are wanted for what they connect.  Rows of a block first meet one row each
+(a star, linear in the block); then the members of blocks that still hold several
+components meet across those, which leaves no link out.  Parity sketches (a lower
+bound of the difference) drop pairs before sets travel.  For the pairs that stay the
+product is formed tile by tile, one row against a block of rows: overlaps accumulate
+block of columns by block, and after each the pairs whose rest can't reach the bound
+are discarded.
 
 Sizes come in intervals: blocks are cut by the largest size of an interval, and
 a row joins the next interval too if a partner may be there.  A block with one
@@ -32,10 +34,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import forget, written
 from .components import components
 from .text import blocks, id_and_text, mix, pieces_hash, read_table, runs_hash, word_spans
 
@@ -43,17 +45,18 @@ from .text import blocks, id_and_text, mix, pieces_hash, read_table, runs_hash,
 WORDS, PERCENT = 4, 85
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Least ratio of the sizes in an interval, and the blocks beyond d + 1 in hundredths.
-INTERVAL = 1.25
+INTERVAL = 1.75
 SPARE = 12
-#: Ids of rows to look up inside tasks: more go through a shuffle (8 bytes each).
-BROADCAST_IDS = 4_000_000
-#: Rows that meet one row in one task.
+#: A block of so many rows or more counts as this many: such blocks are last in order, and dealt by salt.
+COMMON = 4_096
+SALTS = 32
+#: Rows that meet one row in one task, and rows of a block that are compared in one task.
 STAR = 512
+TILE = 2_048
 COLUMN_BLOCKS = 4
 #: Longs of the parity sketch of a set.
 SKETCH = 16
 _SKETCH = [f"s{k}" for k in range(SKETCH)]
-_ROW_SET = "row long, grams binary, " + ", ".join(f"{c} long" for c in _SKETCH)
 
 
 @lru_cache
@@ -104,7 +107,7 @@ def rows_of(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def shared_blocks(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash of a block of columns with what the text has there, blocks to count on) of all blocks that must be compared.
+    """(text, hash of a block of columns with what the text has there, blocks to count on) of all blocks that may be compared.
 
     The lowest bit of a hash tells the two intervals of a text apart.  A pair whose sets differ in
     x n-grams shares at least as many blocks as the row with fewer to count on has, less x.
@@ -137,7 +140,8 @@ def shared_blocks(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) ->
         n_weak = np.bincount(text, weights=weak, minlength=len(some)).astype(np.int64)
         emit = ~weak | (n_weak >= n - most)[text]
         number = np.arange(len(text)) - base[text]
-        key = mix(total[edge[1:]] - total[edge[:-1]] + mix((k[text] * (1 << 32) + number).astype(np.uint64)))
+        # 48 bits: two blocks that fall together cost a comparison, no result
+        key = mix(total[edge[1:]] - total[edge[:-1]] + mix((k[text] * (1 << 32) + number).astype(np.uint64))) >> np.uint64(16)
         texts.append(some[text[emit]])
         keys.append((key[emit] & ~np.uint64(1)) | (k[text[emit]] & 1).astype(np.uint64))
         given.append(np.where(n_weak >= n - most, most + 1, n - n_weak).astype(np.int32)[text[emit]])
@@ -158,34 +162,59 @@ def parity_sketch(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view(np.int64)
 
 
-def links_needed(a: int, b: int, percent: int = PERCENT) -> int:
+def links_needed(a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
     """The least overlap with which sets of these sizes link."""
     return -(-percent * (a + b) // (100 + percent))
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sorted sets link: overlaps of blocks of columns add up until the bound is met or out of reach."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    need, overlap = links_needed(len(a), len(b), percent), 0
+def overlaps(own: np.ndarray, grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The overlap of one row of the matrix with each of a block of rows, or -1 where they don't link.
+
+    ``own`` and each of ``grams[at[i]:at[i + 1]]`` are sorted.  Partial products of a block of columns
+    add up by row; between blocks, rows go whose overlap with all that is left can't reach the bound.
+    """
+    size = np.diff(at)
+    need = links_needed(len(own), size, percent)
+    alive = np.flatnonzero(np.minimum(len(own), size) >= need)
+    total = np.zeros(len(size), np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
     edges = np.linspace(0, 2**64 - 1, COLUMN_BLOCKS + 1)[1:-1].astype(np.uint64)
-    cut_a, cut_b = [0, *np.searchsorted(a, edges).tolist(), len(a)], [0, *np.searchsorted(b, edges).tolist(), len(b)]
+    column = np.searchsorted(edges, grams, "right")
+    cut = [0, *np.searchsorted(own, edges).tolist(), len(own)]
+    left = size.copy()
     for k in range(COLUMN_BLOCKS):
-        x, y = a[cut_a[k] : cut_a[k + 1]], b[cut_b[k] : cut_b[k + 1]]
-        if len(x) and len(y):
-            found = np.searchsorted(y, x)
-            overlap += int((y[np.minimum(found, len(y) - 1)] == x).sum())
-        if overlap >= need:
-            return True
-        if overlap + min(len(a) - cut_a[k + 1], len(b) - cut_b[k + 1]) < need:
-            return False
-    return False
+        inside = np.zeros(len(size), bool)
+        inside[alive] = True
+        cells = np.flatnonzero((column == k) & inside[owner])
+        mine = own[cut[k] : cut[k + 1]]
+        left -= np.bincount(owner[cells], minlength=len(size))
+        if len(mine) and len(cells):
+            found = np.minimum(np.searchsorted(mine, grams[cells]), len(mine) - 1)
+            total += np.bincount(owner[cells[mine[found] == grams[cells]]], minlength=len(size))
+        alive = alive[total[alive] + np.minimum(len(own) - cut[k + 1], left[alive]) >= need[alive]]
+    out = np.full(len(size), -1, np.int64)
+    out[alive] = total[alive]
+    return out
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets link."""
+    return bool(overlaps(a, b, np.array([0, len(b)]), percent)[0] >= 0)
+
+
+def _difference(n: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """The most n-grams in only one of a set of n and a partner of the interval whose parity is ``side``."""
+    bounds = size_bounds(percent)
+    k = np.searchsorted(bounds, n, "right") - 1
+    k += (k & 1) != side
+    return (n + np.minimum(bounds[k + 1] - 1, n * 100 // percent)) * (100 - percent) // (100 + percent)
 
 
 def _matrix_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch, data, at in blocks(batches):
         grams, first = sets(data, at, words)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(rows_of(grams, first))], ["id", "n", "row"])
+        sketch = parity_sketch(grams, first)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(first)), pa.array(rows_of(grams, first)), *(pa.array(sketch[:, k]) for k in range(SKETCH))], ["id", "key", "n", "row", *_SKETCH])
 
 
 def _row_blocks(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -199,87 +228,117 @@ def _row_blocks(batches: Iterator[pa.RecordBatch], words: int, percent: int) ->
                 seen.add(r)
                 new[i] = True
         text, key, given = shared_blocks(grams, first, percent)
-        keep = new[text]
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(row[text[keep]]), pa.array(given[keep])], ["block", "row", "given"])
+        most = _difference(np.diff(first)[text], (key & np.uint64(1)).astype(np.int64), percent)
+        keep = new[text] & (most > 0)  # where sets may not differ, partners are the same row
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(row[text[keep]]), pa.array((given[keep] - most[keep]).astype(np.int32))], ["block", "row", "need"])
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (block, row, given) in order, without repeats, those whose block another row has too."""
-    last = np.zeros((3, 0), np.int64)  # the last entry, not yet decided on, and whether its block came before
-    shared = False
-
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], ["block", "row", "given"])
+def _groups(batches: Iterator[pa.RecordBatch], width: int, keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(columns, sizes of the groups) of runs of rows equal in the first ``keys`` columns, each group whole or at most COMMON at a time.
 
+    A group of COMMON rows or more comes in parts, which all count COMMON; nothing larger is held.
+    """
+    held = np.zeros((width, 0), np.int64)
+    long = False  # the held rows follow others of their group, already given out
     for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
-        rows = np.concatenate([last, rows], axis=1)
-        new = np.ones(rows.shape[1], bool)
-        new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
-        rows = rows[:, new]
+        rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(width)])
+        rows = np.concatenate([held, rows], axis=1)
         if not rows.shape[1]:
             continue
-        same = rows[0, 1:] == rows[0, :-1]
-        live = np.concatenate([[shared and last.shape[1] > 0], same])
-        live[:-1] |= same
-        shared, last = bool(live[-1]), rows[:, -1:]
-        yield out(rows[:, :-1][:, live[:-1]])
-    if last.shape[1] and shared:
-        yield out(last)
+        begin = np.flatnonzero(np.concatenate([[True], (rows[:keys, 1:] != rows[:keys, :-1]).any(axis=0)]))
+        size = np.diff(np.append(begin, rows.shape[1]))
+        if long:
+            size[0] = COMMON
+        last = int(begin[-1])
+        if size[-1] >= COMMON:  # keep one row, which tells whether the group goes on
+            last, goes_on = rows.shape[1] - 1, True
+            size[-1] = COMMON
+        else:
+            goes_on = False
+        counts = np.diff(np.append(begin, rows.shape[1]))
+        yield rows[:, :last], np.repeat(np.minimum(size, COMMON), counts)[:last]
+        held, long = rows[:, last:], goes_on
+    if held.shape[1]:
+        yield held, np.full(held.shape[1], COMMON if long else held.shape[1], np.int64)
 
 
-def _row_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """row, its set (sorted hashes as bytes) and its sketch for the chosen (id, row): a lookup inside tasks if their number allows, else a join."""
+def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (block, row, need) in order, those whose block another row has too, with the number of its rows (COMMON at most)."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None)
+        for batch in batches:
+            block, row = (batch.column(k).to_numpy() for k in range(2))
+            if not len(block):
+                continue
+            new = np.concatenate([[(int(block[0]), int(row[0])) != last], (block[1:] != block[:-1]) | (row[1:] != row[:-1])])
+            last = (int(block[-1]), int(row[-1]))
+            yield batch.filter(pa.array(new))
+
+    for rows, size in _groups(once(batches), 3, 1):
+        live = size > 1
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0][live]), pa.array(rows[1][live]), pa.array(rows[2][live].astype(np.int32)), pa.array(size[live].astype(np.int32))], ["block", "row", "need", "k"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (block, salt, row) in order, each row with the first of its block and salt."""
+    now, hub = None, 0
+    for batch in batches:
+        block, salt, row = (batch.column(k).to_numpy() for k in range(3))
+        if not len(block):
+            continue
+        begin = np.concatenate([[(int(block[0]), int(salt[0])) != now], (block[1:] != block[:-1]) | (salt[1:] != salt[:-1])])
+        first = np.concatenate([[hub], row[begin]])[np.cumsum(begin)]
+        now, hub = (int(block[-1]), int(salt[-1])), int(first[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(first), pa.array(row)], ["block", "a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in blocks(batches):
-            if ids is not None:
-                mine = np.isin(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), ids, assume_unique=False) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-                if not mine.any():
-                    continue
-                batch = batch.filter(pa.array(mine))
-                for part, d, a in blocks(iter([batch])):
-                    yield pack(d, a)
-            else:
-                yield pack(data, at)
-
-    def pack(data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        grams, first = sets(data, at, words)
-        raw, cut = grams.tobytes(), (8 * first).tolist()
-        sketch = parity_sketch(grams, first)
-        return pa.RecordBatch.from_arrays([pa.array(rows_of(grams, first)), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), *(pa.array(sketch[:, k]) for k in range(SKETCH))], ["row", "grams", *_SKETCH])
 
-    n = chosen.count()
-    if n <= BROADCAST_IDS:
-        ids = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.id for r in chosen.select("id").toLocalIterator()], np.int64)))
-        return docs.mapInArrow(lambda it: run(it, ids.value), _ROW_SET)
-    return docs.join(chosen.select("id"), "id", "left_semi").mapInArrow(lambda it: run(it, None), _ROW_SET)
+def _row_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """row and its set (sorted hashes as bytes) for the rows in pairs, from one document each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, at in blocks(batches):
+            grams, first = sets(data, at, words)
+            raw, cut = grams.tobytes(), (8 * first).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(rows_of(grams, first)), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["row", "grams"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    chosen = written(rows.select("row", "id", "key").join(wanted, "row", "left_semi").groupBy("row").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("own")).select(F.col("own.id").alias("own_id"), F.col("own.key").alias("own_key")), "chosen")
+    out = written(docs.join(chosen, docs["id"].eqNullSafe(chosen["own_id"]) & (docs["key"] == chosen["own_key"]), "left_semi").mapInArrow(run, "row long, grams binary").dropDuplicates(["row"]), "row-sets")
+    forget(chosen)
+    return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (a, salt, b, set), with a's own set (b null) first: the pairs that link."""
+    """Rows (a, salt, b, set), with a's own set (b null) first: the pairs that link, and their overlaps."""
     now, own = None, np.zeros(0, np.uint64)
     for batch in batches:
-        a, salt, b = (batch.column(k).to_pylist() for k in range(3))
-        out_a, out_b = [], []
-        for k in range(batch.num_rows):
-            grams = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
-            if b[k] is None:
-                now, own = (a[k], salt[k]), grams.copy()
-            elif now == (a[k], salt[k]) and linked(own, grams, percent):
-                out_a.append(a[k])
-                out_b.append(b[k])
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+        a, salt, is_own = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        b = batch.column(2).fill_null(0).to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])])) if len(a) else []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(begin, [*begin[1:], len(a)], strict=True):
+            if is_own[lo]:
+                now, own = (int(a[lo]), int(salt[lo])), np.frombuffer(batch.column(3)[int(lo)].as_py(), np.uint64)
+                lo += 1
+            if lo == hi or now != (int(a[lo]), int(salt[lo])):
+                continue
+            cells = [np.frombuffer(x, np.uint64) for x in batch.column(3).slice(int(lo), int(hi - lo)).to_pylist()]
+            got = overlaps(own, np.concatenate(cells), np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int64), percent)
+            yes = got >= 0
+            found.append((a[lo:hi][yes], b[lo:hi][yes], got[yes]))
+        cols = [np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "overlap"])
 
 
 def verify(pairs: DataFrame, row_sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link.  Sets of b travel to a; an a of many pairs is split by salt."""
+    """a, b and overlap of the pairs whose sets link.  Sets of b travel to a; an a of many pairs is split by salt."""
     many = pairs.groupBy("a").agg(F.count("*").alias("m"))
     salted = pairs.join(many, "a").select("a", F.pmod(F.hash("b"), F.floor(F.col("m") / STAR).cast("int") + 1).alias("salt"), "b")
     right = salted.join(row_sets.select(F.col("row").alias("b"), "grams"), "b").select("a", "salt", "b", "grams")
     left = salted.select("a", "salt").distinct().join(row_sets.select(F.col("row").alias("a"), "grams"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "grams")
     ordered = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return ordered.mapInArrow(lambda it: _verify(it, percent), "a long, b long")
+    return ordered.mapInArrow(lambda it: _verify(it, percent), "a long, b long, overlap long")
 
 
 def _differ(n: Column, m: Column, percent: int) -> Column:
@@ -287,59 +346,49 @@ def _differ(n: Column, m: Column, percent: int) -> Column:
     return F.floor((n + m) * (100 - percent) / (100 + percent))
 
 
-def _of(sketches: DataFrame, side: str, prefix: str) -> DataFrame:
-    return sketches.select(F.col("row").alias(side), *[F.col(c).alias(f"{prefix}{k}") for k, c in enumerate(_SKETCH)])
+def _facts(of: DataFrame, side: str) -> DataFrame:
+    return of.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(c).alias(f"{side}{k}") for k, c in enumerate(_SKETCH)])
 
 
-def _apart(left: str, right: str) -> Column:
-    """Bits in which two sketches differ."""
-    return sum((F.bit_count(F.col(f"{left}{k}").bitwiseXOR(F.col(f"{right}{k}"))) for k in range(SKETCH)), F.lit(0))
+def _may_link(percent: int) -> Column:
+    """Whether sizes and sketches of a and b leave room for a link: sketches differ in no more bits than sets in n-grams."""
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SKETCH)), F.lit(0))
+    n, m = F.col("n_a"), F.col("n_b")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= _differ(n, m, percent))
 
 
 def _with_links(links: DataFrame, more: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All links and their components, which stay as they are if there are no more links."""
     if more.isEmpty():
         return links, roots
-    links = links.union(more)
+    links = links.unionByName(more)
     return links, components(links)
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles and component_id (the least id reachable by links, its own included), a row for each row of ``df``.
-
-    Null and empty texts have no n-grams and link with nothing: their component is their own id.
-    Repeated rows and ties have equal sets, and so one component.  A null id stays null, is never
-    the least, and a row without an id links only with equal sets.  An empty table gives no rows.
-    """
-    docs = id_and_text(df, id_col, text_col)
-    rows = written(docs.mapInArrow(lambda it: _matrix_rows(it, words), "id long, n long, row long"), "matrix-rows")
-    entry = "block long, row long, given int"
-    cut = docs.mapInArrow(lambda it: _row_blocks(it, words, percent), entry).repartition("block").sortWithinPartitions("block", "row")
-    shared = written(cut.mapInArrow(_shared_only, entry), "shared-blocks")
-    # a row links only if it shares blocks enough in all
-    counts = shared.groupBy("row", F.expr("block & 1").alias("side")).agg(F.count("*").alias("c"), F.first("given").alias("given"))
-    sizes = rows.join(counts.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.min("id").alias("id"), F.min("n").alias("n"))
-    live = written(counts.join(sizes, "row").filter(F.col("c") >= F.col("given") - _differ(F.col("n"), F.floor(F.col("n") * 100 / percent), percent)).select("row", "side", "id", "n", "c"), "live-rows")
-    row_sets = written(_row_sets(docs, live.filter("id is not null").select("row", "id").distinct(), words), "row-sets")
-    shared = shared.withColumn("side", F.expr("block & 1")).join(live.select("row", "side", "n", "c"), ["row", "side"]).drop("side")
-    sketches = row_sets.select("row", *_SKETCH)
-    differ = _differ(F.col("n"), F.col("n_b"), percent)
-
-    def candidates(met: DataFrame) -> DataFrame:
-        """a, b, together of (a, b, block, given, given_b, n, n_b): the pairs that share blocks enough."""
-        counts = met.groupBy("a", "b", F.expr("block & 1")).agg(F.count("*").alias("together"), (F.min(F.least("given", "given_b")) - F.max(differ)).alias("needed"), F.max(differ).alias("most"))
-        return counts.filter(F.col("together") >= F.col("needed")).groupBy("a", "b").agg(F.max("together").alias("together"), F.max("most").alias("most"))
+def matched_rows(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, roots) of (id, text, key): a row for each document, the links between distinct sets, and their components."""
+    rows = written(docs.mapInArrow(lambda it: _matrix_rows(it, words), "id long, key long, n long, row long, " + ", ".join(f"{c} long" for c in _SKETCH)), "matrix-rows")
+    cut = docs.mapInArrow(lambda it: _row_blocks(it, words, percent), "block long, row long, need int").repartition("block").sortWithinPartitions("block", "row")
+    shared = written(cut.mapInArrow(_shared_only, "block long, row long, need int, k int"), "shared-blocks")
+    # of the c blocks that a row shares, the c - need + 1 rarest: linked rows have one of those in common
+    own = shared.withColumn("side", F.expr("block & 1")).repartition("row")
+    whole = Window.partitionBy("row", "side")
+    own = own.withColumn("c", F.count("*").over(whole)).filter("c >= need").withColumn("place", F.row_number().over(whole.orderBy("k", "block")))
+    prefix = written(own.filter("place <= c - need + 1").select("block", "row", "c", "k"), "prefix-blocks")
+    facts = written(rows.join(prefix.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.min("n").alias("n"), *[F.min(c).alias(c) for c in _SKETCH]), "facts")
+    forget(shared)
 
     # the hub of a block is the row that shares the most blocks: it lies in the middle of its copies
-    hubs = shared.groupBy("block").agg(F.max(F.struct("c", "row", "given", "n")).alias("hub"))
-    hubs = hubs.select("block", F.col("hub.row").alias("a"), F.col("hub.given").alias("given"), F.col("hub.n").alias("n"))
-    others = shared.select("block", F.col("row").alias("b"), F.col("given").alias("given_b"), F.col("n").alias("n_b"))
-    sized = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-    star = candidates(others.join(hubs, "block").filter("a <> b").filter(sized))
-    star = star.join(_of(sketches, "a", "l"), "a").join(_of(sketches, "b", "r"), "b").filter(_apart("l", "r") <= F.col("most")).select("a", "b", "together")
-    star = written(star, "star")
+    salt = F.when(F.col("k") < COMMON, 0).otherwise(1 + F.pmod(F.hash("row"), F.lit(SALTS)))
+    dealt = prefix.withColumn("salt", salt).repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("c").desc(), "row")
+    met = dealt.select("block", "salt", "row").mapInArrow(_stars, "block long, a long, b long")
+    hubs = met.filter("a = b").groupBy("block").agg(F.collect_list("a").alias("hubs")).filter("size(hubs) > 1")  # one for each salt, so SALTS at most
+    among = hubs.select(F.array_min("hubs").alias("a"), F.explode("hubs").alias("b"))
+    star = met.select("a", "b").union(among).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("together"))
+    star = written(star.join(_facts(facts, "a"), "a").join(_facts(facts, "b"), "b").filter(_may_link(percent)).select("a", "b", "together"), "star")
+    row_sets = _row_sets(docs, rows, star, words)
     best = star.groupBy("b").agg(F.max(F.struct("together", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
-    links = written(verify(best, row_sets, percent), "links-1")
+    links = written(verify(best, row_sets, percent), "links")
     roots = components(links)
 
     def root(side: str) -> DataFrame:
@@ -347,36 +396,71 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     rest = star.select("a", "b").join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links, roots = _with_links(links, written(verify(rest, row_sets, percent), "links-2"), roots)
-
-    # what is left: rows of one block in different components that haven't met
-    placed = shared.join(roots.withColumnRenamed("node", "row"), "row", "left").select("block", "row", "given", "n", F.coalesce("root", "row").alias("root"))
-    mixed = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("block")
-    open_rows = written(placed.join(mixed, "block"), "open-blocks")
-    left = open_rows.join(_of(sketches, "row", "l"), "row").withColumnRenamed("row", "a")
-    other = open_rows.join(_of(sketches, "row", "r"), "row").select(F.col("block").alias("block_b"), F.col("row").alias("b"), F.col("given").alias("given_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), *[f"r{k}" for k in range(SKETCH)])
-    near = _apart("l", "r") <= differ
-    met = left.join(other, (F.col("block") == F.col("block_b")) & sized & near & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")))
-    across = candidates(met).select("a", "b").join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links, roots = _with_links(links, written(verify(across, row_sets, percent), "links-3"), roots)
-
-    placed = rows.join(roots.withColumnRenamed("node", "row"), "row", "left").select("id", "n", F.coalesce("root", "row").alias("root"))
-    least = placed.filter("n > 0").groupBy("root").agg(F.min("id").alias("least"))
+    links, roots = _with_links(links, written(verify(rest, row_sets, percent), "links"), roots)
+
+    # what is left: rows of one block in different components that haven't met, in tiles of the block
+    placed = prefix.join(roots.withColumnRenamed("node", "row"), "row", "left").select("block", "row", F.coalesce("root", "row").alias("root"))
+    mixed = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low <> high")
+    open_rows = written(placed.join(mixed.select("block", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "block").withColumn("tile", F.pmod(F.hash("row"), F.col("tiles"))), "open-blocks")
+    left = open_rows.join(_facts(facts, "a"), F.col("row") == F.col("a")).withColumn("with", F.explode(F.expr("sequence(0, tiles - 1)"))).drop("row", "tiles")
+    right = open_rows.join(_facts(facts, "b"), F.col("row") == F.col("b")).withColumn("of", F.explode(F.expr("sequence(0, tiles - 1)"))).select(F.col("block").alias("block_b"), F.col("tile").alias("tile_b"), "of", F.col("root").alias("root_b"), "b", "n_b", *[f"b{k}" for k in range(SKETCH)])
+    meet = (F.col("block") == F.col("block_b")) & (F.col("tile") == F.col("of")) & (F.col("with") == F.col("tile_b"))
+    across = left.join(right, meet & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & _may_link(percent)).select("a", "b").distinct()
+    across = written(across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
+    if not across.isEmpty():
+        more = _row_sets(docs, rows, across, words)
+        links, roots = _with_links(links, written(verify(across, more, percent), "links"), roots)
+        forget(more)
+    forget(prefix, facts, star, row_sets, open_rows, across)
+    return rows, links, roots
+
+
+def _placed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key, n, root) of every document, and (root, least, least_key): the least (id, key) of each component of several."""
+    rows, _, roots = matched_rows(docs, words, percent)
+    placed = rows.select("id", "key", "n", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select("id", "key", "n", F.coalesce("root", "row").alias("root"))
+    # written, so that the join on components is between plain tables: Spark splits a large component
+    least = placed.filter("n > 0 and id is not null").groupBy("root").agg(F.min(F.struct("id", "key")).alias("least"), F.count("*").alias("m")).filter("m > 1")
+    return placed, written(least.select("root", F.col("least.id").alias("least"), F.col("least.key").alias("least_key")), "least")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """id, n_shingles and component_id (the least id reachable by links, its own included), a row for each row of ``df``.
+
+    Null and empty texts have no n-grams and link with nothing: their component is their own id.
+    Rows are taken by their texts, so rows that repeat an id with other texts are judged apart.
+    Repeated rows and ties have equal sets, and so one component.  A null id stays null, is never
+    the least, and links as any other row does.  An empty table gives no rows.  Other columns and
+    their names play no part; a text of any length is one set.
+    """
+    placed, least = _placed(_keyed(df, id_col, text_col), words, percent)
     out = placed.join(least, "root", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_and_text(df, id_col, text_col).withColumn("key", F.xxhash64("text"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, percent: int = NEAR_PERCENT) -> DataFrame:
-    """The rows of ``df`` without those that have a component of a lesser id: one document of each group stays.
+    """One row of ``df`` of each group of near copies, with all its columns: that of the least id, then the least hash of its text.
 
-    Rows of a null id stay.  Of rows that repeat an id one stays.
+    Rows are judged one by one: of rows that repeat an id with unrelated texts each stays.  Of rows
+    equal in id and text the one with the least hash of all columns stays.  Rows of a null id stay,
+    as do null and empty texts (once for each id).
     """
-    found = written(jaccard_components(df, id_col, text_col, words, percent).select("id", "component_id"), "components")
-    gone = found.filter("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    kept = df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    if found.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
+    placed, least = _placed(_keyed(df, id_col, text_col), words, percent)
+    found = written(placed.filter("id is not null").join(least, "root", "left").select("id", "key", F.expr("n > 0 and least is not null and (id <> least or key <> least_key)").alias("goes")), "decisions")
+    counts = found.groupBy("id", "key").agg(F.max("goes").alias("goes"), F.count("*").alias("rows")).filter("goes or rows > 1")
+    odd = written(counts.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("goes").alias("__goes")), "odd-rows")
+    forget(found)
+    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__key"))
+    kept = df.join(odd, same, "left_anti")
+    twice = odd.filter("not __goes")
+    if twice.isEmpty():
         return kept
-    return kept.filter(F.col(id_col).isNull()).unionByName(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    again = df.join(twice, same).groupBy("__id", "__key").agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("__row"))
+    return kept.unionByName(again.select("__row.*"))
 
 
 def op1_blocked_product(spark: SparkSession, sf_dir: str) -> DataFrame:

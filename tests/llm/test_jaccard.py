@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stridewell.llm import jaccard
 
@@ -107,8 +108,67 @@ def test_keep_one_leaves_whole_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 2, 3, 4, 5, 8, 9, 10, 11, 12)] + [(True, 0)]
 
 
-def test_lookup_of_rows_by_join(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
-    rows = [(i, " ".join(f"a{k}" for k in range(i % 3, 40))) for i in range(20)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+def test_overlaps_add_up_block_of_columns_by_block(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        own = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 60)), np.uint64))
+        rows = []
+        for _ in range(int(rng.integers(1, 9))):
+            keep = own[rng.random(len(own)) < rng.choice([0.2, 0.9, 1.0])]
+            rows.append(np.unique(np.concatenate([keep, rng.integers(0, 2**64, int(rng.integers(1, 6)), np.uint64)])))
+        at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        plain = [len(np.intersect1d(own, r)) for r in rows]
+        want = [x if 100 * x >= 85 * (len(own) + len(r) - x) else -1 for x, r in zip(plain, rows, strict=True)]
+        assert jaccard.overlaps(own, np.concatenate(rows), at).tolist() == want
+
+
+def test_links_carry_the_accumulated_overlap(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("key"))
+    rows, links, _ = jaccard.matched_rows(docs, 4, 85)
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    of = {r.row: shingles(text[r.id]) for r in rows.collect()}
+    found = links.collect()
+    assert found and all(r.overlap == len(of[r.a] & of[r.b]) for r in found)
+
+
+@pytest.mark.parametrize("common,tile", [(2, 1), (3, 2), (8, 5)])
+def test_common_blocks_and_tiles_change_no_row(spark, monkeypatch, common, tile):
+    # driver and tasks share no module state, so the size of a group is set where it is read
+    rng, rows = random.Random(common), []
+    base = [f"b{i}" for i in range(60)]
+    for k in range(120):
+        text = list(base) if k % 2 else [f"c{k % 7}{i}" for i in range(40)] + base[:20]
+        for _ in range(rng.randrange(6)):
+            text[rng.randrange(len(text))] = f"e{rng.randrange(9)}"
+        rows.append((k, " ".join(text)))
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(jaccard.jaccard_components(df)) == brute(rows)
+
+
+def test_groups_come_whole_or_as_common(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    rng = random.Random(3)
+    for _ in range(100):
+        sizes = [rng.choice([1, 1, 2, 3, 4, 5, 9, 20]) for _ in range(rng.randrange(1, 12))]
+        rows = [(g, i) for g, n in enumerate(sizes) for i in range(n)]
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows)) for _ in range(5))})
+        parts = (pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a:b]], pa.int64()), pa.array([r[1] for r in rows[a:b]], pa.int64())], ["g", "i"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        out = [(int(g), int(i), int(n)) for cols, size in jaccard._groups(parts, 2, 1) for g, i, n in zip(*cols, size, strict=True)]
+        assert out == [(g, i, min(sizes[g], 4)) for g, i in rows]
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    from .common import PROSE
+
+    other = "Quite another text that shares no words at all with those before it and stands alone here."
+    rows = [(7, PROSE, "a"), (7, other, "b"), (3, PROSE + " More.", "c"), (None, PROSE, "d"), (9, other, "e"), (9, other, "f"), (10, None, "g"), (10, "", "h"), (11, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string").repartition(4)
+    for _ in range(2):
+        kept = {r.id for r in jaccard.keep_one(docs).collect()}
+        assert {"b", "c", "d", "i"} <= kept and not kept & {"a", "e", "f"} and len(kept & {"g", "h"}) == 1 and len(kept) == 5
