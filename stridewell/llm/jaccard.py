@@ -48,8 +48,10 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 INTERVAL = 1.75
 SPARE = 12
 #: A block of so many rows or more counts as this many: such blocks are last in order, and dealt by salt.
-COMMON = 4_096
+COMMON = 512
 SALTS = 32
+#: Ids of rows whose sets are wanted that are broadcast at most (some 30 bytes each): more go through a shuffle.
+LOOKUP = 1_000_000
 #: Rows that meet one row in one task, and rows of a block that are compared in one task.
 STAR = 512
 TILE = 2_048
@@ -230,7 +232,9 @@ def _row_blocks(batches: Iterator[pa.RecordBatch], words: int, percent: int) ->
         text, key, given = shared_blocks(grams, first, percent)
         most = _difference(np.diff(first)[text], (key & np.uint64(1)).astype(np.int64), percent)
         keep = new[text] & (most > 0)  # where sets may not differ, partners are the same row
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(row[text[keep]]), pa.array((given[keep] - most[keep]).astype(np.int32))], ["block", "row", "need"])
+        # the block in 48 bits, need in 16 (a lesser one does no harm)
+        entry = (key[keep].view(np.int64) << 16) | np.minimum(given[keep] - most[keep], 0xFFFF)
+        yield pa.RecordBatch.from_arrays([pa.array(row[text[keep]]), pa.array(entry)], ["row", "entry"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], width: int, keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -263,17 +267,18 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int, keys: int) -> Iterato
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (block, row, need) in order, those whose block another row has too, with the number of its rows (COMMON at most)."""
+    """From (row, entry) in order of entry and row, those whose block another row has too, with the number of its rows (COMMON at most)."""
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None)
         for batch in batches:
-            block, row = (batch.column(k).to_numpy() for k in range(2))
-            if not len(block):
+            row, entry = (batch.column(k).to_numpy() for k in range(2))
+            if not len(row):
                 continue
-            new = np.concatenate([[(int(block[0]), int(row[0])) != last], (block[1:] != block[:-1]) | (row[1:] != row[:-1])])
-            last = (int(block[-1]), int(row[-1]))
-            yield batch.filter(pa.array(new))
+            new = np.concatenate([[(int(entry[0]), int(row[0])) != last], (entry[1:] != entry[:-1]) | (row[1:] != row[:-1])])
+            last = (int(entry[-1]), int(row[-1]))
+            entry = entry[new]
+            yield pa.RecordBatch.from_arrays([pa.array(entry >> 16), pa.array(row[new]), pa.array(entry & 0xFFFF)], ["block", "row", "need"])
 
     for rows, size in _groups(once(batches), 3, 1):
         live = size > 1
@@ -293,6 +298,54 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(first), pa.array(row)], ["block", "a", "b"])
 
 
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From (block, lo, hi, tile, row, root, n, sketch) in order of the first three, the pairs of rows in different components that may link.
+
+    Pairs of one tile are compared where it stands alone, those of two tiles where they meet.  A
+    group is two tiles of about TILE rows at most.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def compare(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi, tile, row, root, n = group[1:7]
+        sketch = np.stack(group[7:], axis=1).view(np.uint64)
+        x, y = (np.flatnonzero(tile == lo[0]), np.flatnonzero(tile == hi[0])) if lo[0] != hi[0] else (np.arange(len(row)), np.arange(len(row)))
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in np.array_split(x, -(-len(x) * max(len(y), 1) // (1 << 17))) if len(x) else []:
+            i, j = (k.ravel() for k in np.meshgrid(part, y, indexing="ij"))
+            good = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            if lo[0] == hi[0]:
+                good &= row[i] < row[j]
+            i, j = i[good], j[good]
+            most = (n[i] + n[j]) * (100 - percent) // (100 + percent)
+            good = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= most
+            found_a.append(np.minimum(row[i[good]], row[j[good]]))
+            found_b.append(np.maximum(row[i[good]], row[j[good]]))
+        return np.concatenate(found_a), np.concatenate(found_b)
+
+    def pairs(rows: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+        found = [compare([c[x:y] for c in rows]) for x, y in zip(edges[:-1], edges[1:], strict=True) if y - x > 1]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
+        both = np.unique(np.stack([a, b]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        block, lo, hi = (batch.column(k).to_numpy() for k in range(3))
+        last = (int(block[-1]), int(lo[-1]), int(hi[-1]))
+        if last == tuple(int(held[0].column(k)[0].as_py()) for k in range(3)):
+            continue  # one group so far
+        rows = [np.concatenate([h.column(k).to_numpy() for h in held]).astype(np.int64) for k in range(7 + SKETCH)]
+        begin = np.flatnonzero(np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])]))
+        yield pairs(rows, begin)
+        held = [pa.RecordBatch.from_arrays([pa.array(c[begin[-1] :]) for c in rows], batch.schema.names)]
+    if held:
+        rows = [np.concatenate([h.column(k).to_numpy() for h in held]).astype(np.int64) for k in range(7 + SKETCH)]
+        yield pairs(rows, np.array([0, len(rows[0])]))
+
+
 def _row_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """row and its set (sorted hashes as bytes) for the rows in pairs, from one document each."""
 
@@ -303,8 +356,11 @@ def _row_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(rows_of(grams, first)), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["row", "grams"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    chosen = written(rows.select("row", "id", "key").join(wanted, "row", "left_semi").groupBy("row").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("own")).select(F.col("own.id").alias("own_id"), F.col("own.key").alias("own_key")), "chosen")
-    out = written(docs.join(chosen, docs["id"].eqNullSafe(chosen["own_id"]) & (docs["key"] == chosen["own_key"]), "left_semi").mapInArrow(run, "row long, grams binary").dropDuplicates(["row"]), "row-sets")
+    own = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("own")
+    chosen = written(rows.select("row", "id", "key").join(wanted, "row", "left_semi").groupBy("row").agg(own).select(F.coalesce("own.id", "own.key").alias("uid")), "chosen")
+    # one long for each: other documents that have it too do no harm
+    found = docs.withColumn("uid", F.coalesce("id", "key")).join(F.broadcast(chosen) if chosen.count() <= LOOKUP else chosen, "uid", "left_semi").drop("uid")
+    out = written(found.mapInArrow(run, "row long, grams binary").dropDuplicates(["row"]), "row-sets")
     forget(chosen)
     return out
 
@@ -334,7 +390,8 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 def verify(pairs: DataFrame, row_sets: DataFrame, percent: int) -> DataFrame:
     """a, b and overlap of the pairs whose sets link.  Sets of b travel to a; an a of many pairs is split by salt."""
     many = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    salted = pairs.join(many, "a").select("a", F.pmod(F.hash("b"), F.floor(F.col("m") / STAR).cast("int") + 1).alias("salt"), "b")
+    # written, so that its size is known: few pairs are looked up where the sets are, and only sets in pairs travel
+    salted = written(pairs.join(many, "a").select("a", F.pmod(F.hash("b"), F.floor(F.col("m") / STAR).cast("int") + 1).alias("salt"), "b"), "pairs")
     right = salted.join(row_sets.select(F.col("row").alias("b"), "grams"), "b").select("a", "salt", "b", "grams")
     left = salted.select("a", "salt").distinct().join(row_sets.select(F.col("row").alias("a"), "grams"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "grams")
     ordered = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -368,7 +425,7 @@ def _with_links(links: DataFrame, more: DataFrame, roots: DataFrame) -> tuple[Da
 def matched_rows(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, links, roots) of (id, text, key): a row for each document, the links between distinct sets, and their components."""
     rows = written(docs.mapInArrow(lambda it: _matrix_rows(it, words), "id long, key long, n long, row long, " + ", ".join(f"{c} long" for c in _SKETCH)), "matrix-rows")
-    cut = docs.mapInArrow(lambda it: _row_blocks(it, words, percent), "block long, row long, need int").repartition("block").sortWithinPartitions("block", "row")
+    cut = docs.mapInArrow(lambda it: _row_blocks(it, words, percent), "row long, entry long").repartition(F.shiftright("entry", 16)).sortWithinPartitions("entry", "row")
     shared = written(cut.mapInArrow(_shared_only, "block long, row long, need int, k int"), "shared-blocks")
     # of the c blocks that a row shares, the c - need + 1 rarest: linked rows have one of those in common
     own = shared.withColumn("side", F.expr("block & 1")).repartition("row")
@@ -401,17 +458,18 @@ def matched_rows(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
     # what is left: rows of one block in different components that haven't met, in tiles of the block
     placed = prefix.join(roots.withColumnRenamed("node", "row"), "row", "left").select("block", "row", F.coalesce("root", "row").alias("root"))
     mixed = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low <> high")
-    open_rows = written(placed.join(mixed.select("block", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "block").withColumn("tile", F.pmod(F.hash("row"), F.col("tiles"))), "open-blocks")
-    left = open_rows.join(_facts(facts, "a"), F.col("row") == F.col("a")).withColumn("with", F.explode(F.expr("sequence(0, tiles - 1)"))).drop("row", "tiles")
-    right = open_rows.join(_facts(facts, "b"), F.col("row") == F.col("b")).withColumn("of", F.explode(F.expr("sequence(0, tiles - 1)"))).select(F.col("block").alias("block_b"), F.col("tile").alias("tile_b"), "of", F.col("root").alias("root_b"), "b", "n_b", *[f"b{k}" for k in range(SKETCH)])
-    meet = (F.col("block") == F.col("block_b")) & (F.col("tile") == F.col("of")) & (F.col("with") == F.col("tile_b"))
-    across = left.join(right, meet & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & _may_link(percent)).select("a", "b").distinct()
+    open_rows = placed.join(mixed.select("block", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "block").join(facts, "row")
+    # a row of tile t goes to each pair of tiles that holds t
+    mine = F.pmod(F.hash("row"), F.col("tiles"))
+    tiled = open_rows.withColumn("tile", mine).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other"))
+    tiled = tiled.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi").select("block", "lo", "hi", "tile", "row", "root", "n", *_SKETCH)
+    across = tiled.mapInArrow(lambda it: _across(it, percent), "a long, b long").distinct()
     across = written(across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         more = _row_sets(docs, rows, across, words)
         links, roots = _with_links(links, written(verify(across, more, percent), "links"), roots)
         forget(more)
-    forget(prefix, facts, star, row_sets, open_rows, across)
+    forget(prefix, facts, star, row_sets, across)
     return rows, links, roots
 
 
