@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import forget, written
 from .text import blocks, id_and_text, mix, pieces_hash, ragged, read_table, runs_hash, word_spans
 
 #: Tokens of a window, and the fixed (not placeholder) ones it must have.
@@ -248,8 +248,11 @@ def _rows(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row (HITS) for each document and benchmark item that it holds.
 
-    Null and empty texts hold nothing; repeated rows of a document give repeated hits; benchmark
-    rows without an id or a text are left out; an empty benchmark gives no rows.
+    Null and empty texts hold nothing; repeated rows of a document give repeated hits, those of a
+    null id hits of a null id; benchmark rows without an id or a text are left out, repeated ones
+    count once; an empty benchmark or an empty table gives no rows.  Texts of any length are looked
+    at whole; ties (items of the same windows) each give a row; other columns of either table and
+    their names play no part.  Both ways, by lookup and by join, give the same rows.
     """
     spark = docs.sparkSession
     own = id_and_text(docs, id_col, text_col)
@@ -334,10 +337,17 @@ def _joined(own: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """The rows of ``df`` that hold no benchmark item, with all their columns; rows of a null id stay."""
-    hits = written(contamination(df, benchmark, id_col, text_col, **columns), "hits")
-    gone = hits.select(F.col("id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``df`` whose text holds no benchmark item, with all their columns.
+
+    Each row is judged by its own text, whatever its id: rows of a null id or of one that others
+    have too stay or go by themselves, and equal texts alike.  Null and empty texts stay; an empty
+    table gives no rows, an empty benchmark drops none.  (Texts are known by a 64-bit hash.)
+    """
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    hits = written(contamination(df.select(text.alias("text_id"), F.col(text_col).alias("text")), benchmark, "text_id", **columns), "hits")
+    gone = written(hits.select(F.col("id").alias("__gone")).distinct(), "gone")
+    forget(hits)
+    return df.join(gone, text == F.col("__gone"), "left_anti")
 
 
 def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,7 +175,13 @@ def test_odd_rows(spark):
     items = spark.createDataFrame([(1, PROSE), (1, PROSE), (2, ""), (3, None), (None, PROSE)], "item_id long, text string")
     out = d.contamination(docs, items).collect()
     assert sorted((r.id is None, r.id or 0, r.item_id) for r in out) == [(False, 5, 1), (False, 6, 1), (False, 7, 1), (True, 0, 1)]
-    assert d.drop_contaminated(docs, items).count() == 11
+    # each row by its own text: that of a null id goes too
+    for limit in (0, d.BROADCAST_BYTES):
+        assert sorted(map(str, d.contamination(docs, items, broadcast_bytes=limit).collect())) == sorted(map(str, out))
+    kept = d.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 8, 9, 10, 11, 12, 12]
+    both = spark.createDataFrame([(5, PROSE, "a"), (5, "A clean text.", "b"), (6, "A clean text.", "c"), (None, "Another one.", "d")], "doc_id long, text string, id string")
+    assert {r.id for r in d.drop_contaminated(both, items).collect()} == {"b", "c", "d"}
     assert d.contamination(no_documents(spark), items).count() == 0
     assert d.contamination(docs, items.filter("false")).count() == 0
     assert d.contamination(docs, items.filter("false"), broadcast_bytes=-1).count() == 0

@@ -59,3 +59,15 @@ def test_odd_rows_in_every_stage(spark, make):
         n = out.count()
         assert n <= docs.count() and (name not in ("secret_scans", "sentencepiece") or n == docs.count())
         assert name == "sentencepiece" or out.columns == docs.columns
+
+
+def test_odd_rows_that_each_stage_keeps(spark):
+    docs, stages = odd_documents(spark), dict(corpus_pipeline.STAGES)
+    order = lambda rows: sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+    every = order(docs.collect())
+    assert order(stages["toxicity"](spark, docs, DATA).collect()) == every
+    single = stages["ngram_jaccard_join"](spark, docs, DATA)
+    assert order(single.collect()) == [(False, i) for i in (1, 2, 3, 4, 5, 8, 9, 10, 11, 12)] + [(True, 0)]
+    assert order(stages["benchmark_decontamination"](spark, docs, DATA).collect()) == every
+    assert order(stages["secret_scans"](spark, docs, DATA).collect()) == every
+    assert order(stages["sentencepiece"](spark, docs, DATA).collect()) == every
