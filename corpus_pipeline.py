@@ -22,30 +22,47 @@ from stridewell.session import ship_package
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a classifier, trained on the labelled ones among them, doesn't call toxic."""
+    """Documents that a classifier, trained on the labelled ones among them, doesn't call toxic.
+
+    Null and empty texts, repeated rows and rows of a null id are scored like any other and keep
+    their columns; an empty table gives no rows, and without labels all stay.
+    """
     ship_package(spark)
     return drop_toxic(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies."""
+    """One document of each group of near copies: that of the least id, then of the least hash of its text.
+
+    Null and empty texts are nobody's copies, and rows of a null id stay; of rows equal in id and
+    text one stays; rows of one id with unrelated texts are judged apart.  An empty table gives no rows.
+    """
     ship_package(spark)
     return keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, each row judged by its own text.
+
+    Null and empty texts hold none; an empty table gives no rows, and an empty benchmark drops none.
+    """
     ship_package(spark)
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets and linked parts of credentials masked and n_chars counted anew."""
+    """All documents, with secrets and linked parts of credentials masked and n_chars counted anew.
+
+    A null text stays null, an empty one empty; repeated rows and null ids are masked like any other.
+    """
     return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the piece ids of each document, their number, and whether they decode to its text."""
+    """doc_id, the piece ids of each document, their number, and whether they decode to its text.
+
+    A row for each document: null and empty texts have no pieces, repeated rows and null ids stay.
+    """
     ship_package(spark)
     out = encode(docs)
     return out.select(F.col("id").alias("doc_id"), "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip")
