@@ -50,7 +50,7 @@ SPARE = 12
 #: A block of so many rows or more counts as this many: such blocks are last in order, and dealt by salt.
 COMMON = 512
 SALTS = 32
-#: Ids of rows whose sets are wanted that are broadcast at most (some 30 bytes each): more go through a shuffle.
+#: Rows of one or two longs that are broadcast at most (ids whose sets are wanted, rows that go; some 70 bytes each): more go through a shuffle.
 LOOKUP = 1_000_000
 #: Rows that meet one row in one task, and rows of a block that are compared in one task.
 STAR = 512
@@ -513,7 +513,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     odd = written(counts.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("goes").alias("__goes")), "odd-rows")
     forget(found)
     same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__key"))
-    kept = df.join(odd, same, "left_anti")
+    # narrow rows, beside which whole texts would be shuffled
+    kept = df.join(F.broadcast(odd) if odd.count() <= LOOKUP else odd, same, "left_anti")
     twice = odd.filter("not __goes")
     if twice.isEmpty():
         return kept
