@@ -5,7 +5,7 @@ They run inside the scan's projection, without a shuffle; training uses the same
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,10 +46,14 @@ def maxpool(x: Column, width: int = 2) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_max(F.slice(x, k * width + 1, F.lit(width))))).otherwise(empty)
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    raised = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(raised, lambda v: v / total(raised))
+    raised = _bound(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return _bound(raised, lambda r: _bound(total(r), lambda s: F.transform(r, lambda v: v / s)))
 
 
 def softmax_pool(scores: Column, values: Column) -> Column:
@@ -60,7 +64,7 @@ def softmax_pool(scores: Column, values: Column) -> Column:
 def attend(query: Column, keys: Column, values: Column, scale: float) -> Column:
     """One head of attention of one query over arrays of keys and values."""
     weights = softmax(F.transform(keys, lambda k: dot(query, k) / F.lit(scale)))
-    return F.transform(F.sequence(F.lit(0), F.size(values[0]) - 1), lambda d: dot(weights, F.transform(values, lambda v: v[d])))
+    return _bound(weights, lambda w: F.transform(F.sequence(F.lit(0), F.size(values[0]) - 1), lambda d: dot(w, F.transform(values, lambda v: v[d]))))
 
 
 def cosine(a: Column, b: Column) -> Column:

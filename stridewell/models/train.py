@@ -1,8 +1,8 @@
 """Training and prediction by fold: a Spark task for each fit, predictions spread over all windows.
 
 A fit sees at most ``max_train`` windows (those with the least hash of their id; a documented bound,
-since a network of this size is fitted in one task's memory).  Every window is predicted, by the
-model of its own fold, in groups of (seed, fold, salt).
+since a network of this size is fitted in one task's memory).  Every window is predicted where it
+is, by the model of its own fold from a broadcast; beyond MODELS in groups of (seed, fold, salt).
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .kernels import Adam, Network, SharpnessAware
 
 MAX_TRAIN = 20_000
 SALTS = 8
+#: Models (well below 1 MB each) that are broadcast at most; with more, as by subject, each meets its own fold's rows.
+MODELS = 64
 
 
 def class_weights(y: np.ndarray, n: int) -> np.ndarray:
@@ -147,5 +149,15 @@ def fit_predict(folded: DataFrame, mode: str = "erm", seeds: Sequence[int] = (0,
             return pd.DataFrame([], columns=["seed", "fold", "window_id", "y", "p"])
         return rows[["seed", "fold", "window_id", "y"]].assign(p=_predict(models.model.iloc[0], rows, labels, settings.batch))
 
+    if len(units) <= MODELS:
+        fitted = spark.sparkContext.broadcast({(r.seed, r.fold): bytes(r.model) for r in models.filter("salt = 0").collect()})
+
+        def predict_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for (s, f), part in batch.groupby(["seed", "fold"]):
+                    yield predict_group(part, pd.DataFrame({"model": [fitted.value[int(s), int(f)]]}))
+
+        return rows.mapInPandas(predict_batch, "seed int, fold int, window_id long, y string, p string")
+
     keys = ("seed", "fold", "salt")
     return rows.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInPandas(predict_group, "seed int, fold int, window_id long, y string, p string")

@@ -7,9 +7,11 @@ frequency of the first acceleration channel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHANNELS, DEFAULTS
@@ -54,20 +56,34 @@ def variances(df: DataFrame, feat: str = "feat", size: int | None = None) -> Dat
     return df.select(F.posexplode(feat).alias("pos", "v")).groupBy("pos").agg(F.var_pop("v").alias("var"))
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Correlation, or null where a side is constant."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-
-
 def correlated_pairs(df: DataFrame, positions: Sequence[int], feat: str = "feat", threshold: float = DEFAULTS.corr_threshold) -> DataFrame:
-    """a, b, r of the pairs of positions whose correlation is beyond the threshold; one pass, one row of sums for each pair."""
-    pairs = [(a, b) for i, a in enumerate(positions) for b in positions[i + 1 :]]
-    if not pairs:
+    """a, b, r of the pairs of positions whose correlation is beyond the threshold.
+
+    Two passes: the means, then one matrix of products about them, to which a task adds its batches;
+    a task gives a row for each pair.  Pairs with a constant side have no correlation.
+    """
+    if len(positions) < 2:
         return df.sparkSession.createDataFrame([], "a int, b int, r double")
-    own = df.select(*[F.col(feat)[p].alias(f"f{p}") for p in positions])
-    one = own.agg(*[correlation(F.col(f"f{a}"), F.col(f"f{b}")).alias(f"r{a}_{b}") for a, b in pairs])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{a}_{b}").alias("r")) for a, b in pairs])).alias("p")
-    return one.select(rows).select("p.*").filter(F.abs("r") > threshold)
+    own = df.select(F.array(*[F.col(feat)[p].cast("double") for p in positions]).alias("v")).filter("not exists(v, x -> x is null)")
+    means = own.select(F.posexplode("v").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mu"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    center = np.zeros(len(positions))
+    for r in means.collect():  # one row for each position
+        center[r.pos] = r.lo if r.lo == r.hi else r.mu
+    at = np.array(positions)
+    i, j = np.triu_indices(len(positions))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros((len(at), len(at)))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, len(at)) - center
+            gram += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(gram[i, j])], ["i", "j", "s"])
+
+    sums = own.mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    length = sums.filter("i = j")
+    both = sums.filter("i < j").join(length.select("i", F.col("s").alias("si")), "i").join(length.select("j", F.col("s").alias("sj")), "j")
+    of = F.array(*[F.lit(int(p)) for p in at])
+    return both.select(of[F.col("i")].alias("a"), of[F.col("j")].alias("b"), F.try_divide("s", F.sqrt(F.col("si") * F.col("sj"))).alias("r")).filter(F.abs("r") > threshold)
 
 
 def select_positions(df: DataFrame, feat: str = "feat", var_threshold: float = DEFAULTS.var_threshold, corr_threshold: float = DEFAULTS.corr_threshold) -> list[int]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..shared import written
 
 
 def shuffle_key(seed: int, row: Column) -> Column:
@@ -16,9 +17,21 @@ def shuffle_key(seed: int, row: Column) -> Column:
 
 
 def stratified_kfold(df: DataFrame, y: str, row: str, folds: int = DEFAULTS.folds, seed: int = 0) -> DataFrame:
-    """``df`` with ``fold``: rows of a class are dealt in shuffled order, so fold sizes of a class differ by one at most."""
-    w = Window.partitionBy(y).orderBy(shuffle_key(seed, F.col(row)), F.col(row))
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
+    """``df`` with ``fold``: rows of a class are dealt in shuffled order, so fold sizes of a class differ by one at most.
+
+    Rows are sorted by range partitions, which part a large class too; a row's place in its class is
+    its place in the partition and the sizes of the parts before, a row for each class and partition.
+    """
+    sort = [F.col(y), F.col("__order"), F.col(row)]
+    ordered = df.withColumn("__order", shuffle_key(seed, F.col(row))).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    # written, as a second run could draw other bounds
+    ordered = written(ordered.withColumn("__at", F.monotonically_increasing_id()).drop("__order"), "ordered")
+    part = F.shiftright("__at", 33)
+    parts = ordered.groupBy(F.col(y).alias("__y"), part.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("__y").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__y", "__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    placed = ordered.join(parts, F.col(y).eqNullSafe(F.col("__y")) & (part == F.col("__part")))
+    return placed.select(*df.columns, ((F.col("__at") - F.col("__first") + F.col("__base")) % folds).cast("int").alias("fold"))
 
 
 def loso(df: DataFrame, subj: str = "subj") -> DataFrame:

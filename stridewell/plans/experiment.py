@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,8 @@ def remaining(plan: DataFrame, done: DataFrame) -> DataFrame:
 def run(plan: DataFrame, folder: str, predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Predict for the units that ``folder`` lacks, append, and return all predictions of the plan.
 
-    ``predict`` takes units and returns PREDICTIONS rows; each unit's rows are written together.
+    ``predict`` takes units and returns PREDICTIONS rows.  Each seed of a configuration is written
+    by itself, so a run that ends early loses that seed alone.
     """
     spark = plan.sparkSession
     done = spark.createDataFrame([], PREDICTIONS)
@@ -47,8 +49,10 @@ def run(plan: DataFrame, folder: str, predict: Callable[[DataFrame], DataFrame])
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         done = spark.read.schema(PREDICTIONS).parquet(folder)
     todo = remaining(plan, done)
-    if not todo.isEmpty():
-        predict(todo).select(*[c.split()[0] for c in PREDICTIONS.split(", ")]).write.mode("append").parquet(folder)
+    seed = ("task", "mode", "protocol", "seed", "settings")
+    for own in todo.select(*seed).distinct().orderBy(*seed).collect():  # configurations times seeds
+        units = todo.filter(reduce(lambda a, b: a & b, [F.col(c) == F.lit(own[c]) for c in seed]))
+        predict(units).select(*[c.split()[0] for c in PREDICTIONS.split(", ")]).write.mode("append").parquet(folder)
     return spark.read.schema(PREDICTIONS).parquet(folder).join(plan.select(*UNIT, "settings"), [*UNIT, "settings"], "left_semi")
 
 
