@@ -221,11 +221,12 @@ def write_records(df: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Encode each text, append ``end_id`` and write records in ascending id under ``folder`` (a URI); returns the manifest.
 
     Null and empty texts become a record of ``end_id`` alone; a null id comes first and stays null;
-    repeated rows become repeated records; an empty table gives an empty manifest.
+    repeated rows become repeated records, and rows of one id come in the order of their texts; an
+    empty table gives an empty manifest.  Other columns and their names play no part.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
-    ordered = id_and_text(df, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id")
+    ordered = id_and_text(df, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "text")
     manifest = f"{folder}/manifest"
     ordered.mapInArrow(lambda it: _write(it, folder, path, end_id), MANIFEST).write.mode("overwrite").parquet(manifest)
     return df.sparkSession.read.schema(MANIFEST).parquet(manifest)
@@ -272,6 +273,45 @@ def read_records(manifest: DataFrame, chunk: int = 4 << 20) -> DataFrame:
     return files.repartitionByRange(max(n, 1), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_index(manifest: DataFrame) -> DataFrame:
+    """The index entries of all files: doc_id, data (file), width, offset and n_tokens of each record, without its ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.to_pylist():
+                system, path = fs.FileSystem.from_uri(file["index"])
+                with system.open_input_stream(path) as f:
+                    index = np.frombuffer(f.read(), INDEX)
+                n = len(index)
+                yield pa.RecordBatch.from_arrays([pa.array(index["id"], mask=index["has_id"] == 0), pa.array([file["data"]] * n, pa.string()), pa.array([file["width"]] * n, pa.int32()), pa.array(index["offset"].astype(np.int64)), pa.array(index["n_ids"].astype(np.int64))], ["doc_id", "data", "width", "offset", "n_tokens"])
+
+    return manifest.mapInArrow(run, "doc_id long, data string, width int, offset long, n_tokens long")
+
+
+def read_at(entries: DataFrame) -> DataFrame:
+    """doc_id and ids of the records at entries of ``read_index``, in the order and the partitions of ``entries``.
+
+    Each record is read alone from its offset and held against its checksums; entries may be any
+    part of the index, shuffled or repeated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: dict[str, pa.NativeFile] = {}
+        for batch in batches:
+            found = []
+            for data, width, offset, n in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if data not in files:
+                    system, path = fs.FileSystem.from_uri(data)
+                    files[data] = system.open_input_file(path)
+                files[data].seek(offset)
+                raw = np.frombuffer(files[data].read(n * width + 16), np.uint8)
+                payload, _ = unframe(raw, np.zeros(1, np.int64), np.array([n * width]))
+                found.append(payload.view(f"<u{width}").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return entries.select("doc_id", "data", "width", "offset", "n_tokens").mapInArrow(run, "doc_id long, ids array<bigint>")
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex[:12]}"
     return read_records(write_records(read_table(spark, sf_dir, "documents"), folder))

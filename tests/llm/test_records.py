@@ -74,3 +74,25 @@ def test_odd_rows(spark):
     assert [r.doc_id for r in out] == [None, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 12]
     assert [r.n_tokens for r in out if r.doc_id in (1, 2)] == [1, 1]
     assert records.read_records(records.write_records(no_documents(spark), folder(spark))).count() == 0
+
+
+def test_records_are_read_through_the_index_in_any_order(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(3)
+    manifest = records.write_records(docs, folder(spark))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
+    entries = records.read_index(manifest)
+    assert entries.count() == len(want)
+    some = entries.filter("doc_id % 3 = 1").orderBy(F.rand(5))
+    out = records.read_at(some.union(some.limit(2))).collect()
+    assert len(out) == sum(i % 3 == 1 for i in want) + 2 and all(r.ids == want[r.doc_id] for r in out)
+    assert [r.doc_id for r in out] != sorted(r.doc_id for r in out)
+
+
+def test_rows_of_one_id_come_in_the_order_of_their_texts(spark):
+    texts = ["b two", "a one", "c three", "a one"]
+    for k in range(3):
+        df = spark.createDataFrame([(4, t) for t in texts[k:] + texts[:k]], "doc_id long, text string").repartition(2)
+        assert sorted(map(tuple, records.read_records(records.write_records(df, folder(spark))).collect())) == brute([(4, t) for t in texts])
