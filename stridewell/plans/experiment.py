@@ -19,6 +19,7 @@ from ..functions.formats import mean_sd
 from ..operators import metrics
 
 UNIT = ("task", "mode", "protocol", "seed", "fold")
+BY_SEED = ("task", "mode", "protocol", "seed")
 PREDICTIONS = "task string, mode string, protocol string, seed int, fold int, settings string, window_id long, y string, p string"
 
 
@@ -37,11 +38,11 @@ def remaining(plan: DataFrame, done: DataFrame) -> DataFrame:
     return plan.join(done.select(*UNIT, "settings").distinct(), [*UNIT, "settings"], "left_anti")
 
 
-def run(plan: DataFrame, folder: str, predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def run(plan: DataFrame, folder: str, predict: Callable[[DataFrame], DataFrame], by: Sequence[str] = ()) -> DataFrame:
     """Predict for the units that ``folder`` lacks, append, and return all predictions of the plan.
 
-    ``predict`` takes units and returns PREDICTIONS rows.  Each seed of a configuration is written
-    by itself, so a run that ends early loses that seed alone.
+    ``predict`` takes units and returns PREDICTIONS rows.  Units that differ in the columns ``by``
+    (as BY_SEED) are predicted and written apart, so a run that ends early loses one such part alone.
     """
     spark = plan.sparkSession
     done = spark.createDataFrame([], PREDICTIONS)
@@ -49,9 +50,8 @@ def run(plan: DataFrame, folder: str, predict: Callable[[DataFrame], DataFrame])
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         done = spark.read.schema(PREDICTIONS).parquet(folder)
     todo = remaining(plan, done)
-    seed = ("task", "mode", "protocol", "seed", "settings")
-    for own in todo.select(*seed).distinct().orderBy(*seed).collect():  # configurations times seeds
-        units = todo.filter(reduce(lambda a, b: a & b, [F.col(c) == F.lit(own[c]) for c in seed]))
+    for own in todo.select(*by, F.lit(1).alias("__all")).distinct().orderBy(*by, "__all").collect():  # configurations times seeds at most
+        units = todo.filter(reduce(lambda a, b: a & b, [F.col(c) == F.lit(own[c]) for c in by], F.lit(True)))
         predict(units).select(*[c.split()[0] for c in PREDICTIONS.split(", ")]).write.mode("append").parquet(folder)
     return spark.read.schema(PREDICTIONS).parquet(folder).join(plan.select(*UNIT, "settings"), [*UNIT, "settings"], "left_semi")
 

@@ -65,6 +65,23 @@ def test_runs_resume_by_unit_and_settings(spark, tmp_path):
     assert results.read_summary(spark, str(tmp_path / "summary")).filter("protocol = 'cv'").first().accuracy == "1.0000 +/- 0.0000"
 
 
+def test_a_run_that_ends_early_loses_one_seed(spark, tmp_path):
+    folds = spark.createDataFrame([("cv", 0), ("cv", 1)], "protocol string, fold int")
+    plan, folder, seen = experiment.work_plan(spark, folds, ["binary"], ["erm"], ["cv"]), str(tmp_path / "predictions"), []
+
+    def predict(todo):
+        seen.append([r.seed for r in todo.select("seed").distinct().collect()])
+        if len(seen) == 3:
+            raise RuntimeError("lost")
+        return predictions(todo)
+
+    with pytest.raises(RuntimeError, match="lost"):
+        experiment.run(plan, folder, predict, experiment.BY_SEED)
+    assert spark.read.parquet(folder).select("seed").distinct().count() == 2
+    assert experiment.run(plan, folder, predict, experiment.BY_SEED).count() == plan.count()
+    assert len(seen) == 4 and seen[2] == seen[3] and all(len(s) == 1 for s in seen)
+
+
 def test_seed_of_another_settings_hash_is_run_again(spark):
     from stridewell.config import Settings
 
