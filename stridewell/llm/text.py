@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once inside a task.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Characters that end a word: space and U+0009 to U+000D.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
