@@ -58,6 +58,9 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements whose id is an anchor in the text and says nothing of what they hold.
+ANCHORED = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "td", "th", "li")
+_ANCHOR = re.compile(r"""(?:^|\s)id\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _STATE = re.compile(r"(?:has|with|no|without)[-_]")
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -79,7 +82,7 @@ def runs(page: str) -> Iterator[tuple[str, bool, tuple[frozenset[str], ...], boo
         tag = (m["tag"] or "").lower()
         if not tag:
             if m["raw"] is not None:
-                yield m["raw"].lower(), False, (), m["raw"].lower() not in ("svg", "math")
+                yield m["raw"].lower(), False, (), m["raw"].lower() in ("title", "textarea", "select")
             continue
         if m["close"]:
             if any(t == tag for t, _ in stack):
@@ -98,7 +101,7 @@ def runs(page: str) -> Iterator[tuple[str, bool, tuple[frozenset[str], ...], boo
                 if not any(t in ("ul", "ol", "menu") for t, _ in stack[k:]):
                     del stack[k:]
             if tag not in VOID and not m["rest"].endswith("/"):
-                names = {"." + p for g in _NAMES.findall(m["rest"]) for w in "".join(g).lower().split() for p in _parts(w)}
+                names = {"." + p for g in _NAMES.findall(_ANCHOR.sub(" ", m["rest"]) if tag in ANCHORED else m["rest"]) for w in "".join(g).lower().split() for p in _parts(w)}
                 stack.append((tag, frozenset(names | {tag})))
         yield tag, False, (), tag not in INLINE
     if at < len(page):

@@ -103,3 +103,9 @@ def test_odd_pages(spark):
     assert of[3] == "just words without a tag" and of[4] == "unclosed bold &" and of[None] == "no id" and of[7] == "twice"
     assert of[8] == ("long text " * 100_000).strip()
     assert html_text.extract(df.filter("false"), weights).count() == 0 and html_text.learn(df.filter("false"))
+
+
+def test_scripts_and_anchors_leave_sentences_whole(spark):
+    weights = learned(spark)
+    wrap = "<article><h1>One title</h1><p id='notice-period'>A sentence with <script>track()</script>a script in it, and long enough.</p><h2 id=related-work>Related work</h2><p>What others did before, in some more words.</p></article>"
+    assert html_text.main_text(page(wrap), weights) == "One title\n\nA sentence with a script in it, and long enough.\n\nRelated work\n\nWhat others did before, in some more words."
