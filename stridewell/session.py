@@ -13,12 +13,20 @@ from pyspark.sql import SparkSession
 _HERE = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
 
+#: Bytes of a batch that goes to a Python worker, instead of Spark's default: long texts come by the thousand, and
+#: JVM and worker each hold a batch in every running task.
+BATCH = "4MB"
+_BYTES, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for each Spark application.
 
     Python code that runs in tasks imports it by name, wherever the driver was started.
+    Where the session leaves the size of Arrow batches at Spark's default, it becomes BATCH.
     """
+    if spark.conf.get(_BYTES) == _DEFAULT:
+        spark.conf.set(_BYTES, BATCH)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
