@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once inside a task.
 BLOCK = 1 << 20
+#: Pieces whose values are computed at once, and those that a store keeps.
+AT_ONCE = 1 << 14
+MOST_PIECES = 1_000_000
 #: Characters that end a word: space and U+0009 to U+000D.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -150,7 +153,7 @@ class PerPiece:
     memory is bounded; results don't depend on it.
     """
 
-    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = 2_000_000):
+    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = MOST_PIECES):
         self.compute, self.dtype, self.most = compute, dtype, most
         self.clear()
 
@@ -171,10 +174,14 @@ class PerPiece:
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
-            lengths, values = self.compute([raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-            base = len(self.at) - 1
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
-            self.values = [np.concatenate([*self.values, np.asarray(values, self.dtype)])]
+            lengths, values, base = [], [], len(self.at) - 1
+            for i in range(0, len(new), AT_ONCE):
+                some = first[new[i : i + AT_ONCE]]
+                n, v = self.compute([raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+                lengths.append(n)
+                values.append(np.asarray(v, self.dtype))
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(lengths))])
+            self.values = [np.concatenate([*self.values, *values])]
             self.keys = np.insert(self.keys, found[new], keys[new])
             self.place = np.insert(self.place, found[new], base + np.arange(len(new)))
         return self.place[np.searchsorted(self.keys, keys)][row], self.at, self.values[0]
