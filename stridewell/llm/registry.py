@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op10_template_windows
 from .html_text import op5_best_region
 from .jaccard import op1_blocked_product
+from .prefix_tree import op12_patricia
 from .quality import op8_token_fertility
 from .records import op4_token_records
 from .secrets import op2_linked_credentials
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_fertility": op8_token_fertility,
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_template_windows": op10_template_windows,
+    "op12_patricia": op12_patricia,
 }
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -44,4 +46,18 @@ m as (select h from f group by 1 having count(*) > 1),
 g as (select distinct doc_id, unnest(range(i, i + 35)) p from f semi join m using (h)),
 k as (select doc_id, string_agg(x, ' ' order by p) t, count(*) c from (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d) anti join g using (doc_id, p) group by 1)
 select d.doc_id, len(w) n_words, len(w) - coalesce(c, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join k using (doc_id)""",
+    "op12_patricia": f"""with t as (select conv_id c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) k, len({_WORDS.format(text="coalesce(text, '')")}) w from conversations where conv_id is not null),
+o as (select *, row_number() over (partition by c order by turn nulls first, k) i from t),
+h as (select c, c - c % 20 b, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::varchar, ''), lambda x: [ord(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, case when xor(a, b) % 2 = 1 then 3988292384 else 0 end)), 4294967295) % 4 h from (select distinct c from o)),
+l as (select h.c, i d, k, w from h join o on o.c = h.b and o.i <= h.h),
+r as (select * from l union all select h.c, (select count(*) from l where l.c = h.c) + i - h.h, k, w from h join o on o.c = h.c and o.i > h.h),
+p as (select c, 0 d, '' p, 0 w from h union all select c, d, md5(string_agg(k, '') over (partition by c order by d)), w from r),
+n as (select p, d, min(c) conv_id, count(*) n_convs, any_value(w) w from p group by 1, 2),
+u as (select n.*, q.p up, q.d ud from n left join p q on q.c = n.conv_id and q.d = n.d - 1),
+k as (select up p, ud d, count(*) n_children from u where ud is not null group by 1, 2),
+v as (select u.*, coalesce(n_children, 0) n_children from u left join k using (p, d)),
+s as (select q.p, q.d, sum((n_children = 0)::int)::bigint n_leaves, sum((n_convs - 1) * v.w)::bigint saved_tokens from v join p q on q.c = v.conv_id and q.d <= v.d group by 1, 2),
+m as (select arg_max(p, d) p, max(d) d, c from p group by c),
+e as (select p, d, sha256(string_agg(c::varchar, ',' order by c)) x from m group by 1, 2)
+select v.conv_id, d depth, a.conv_id parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, coalesce(x, sha256('')) ends_sha256 from v join s using (p, d) left join e using (p, d) left join n a on a.p = v.up and a.d = v.ud""",
 }
