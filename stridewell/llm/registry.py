@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op10_template_windows
 from .html_text import op5_best_region
 from .jaccard import op1_blocked_product
+from .pii import op13_weak_supervision
 from .prefix_tree import op12_patricia
 from .quality import op8_token_fertility
 from .records import op4_token_records
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_template_windows": op10_template_windows,
     "op12_patricia": op12_patricia,
+    "op13_weak_supervision": op13_weak_supervision,
 }
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
