@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op10_template_windows
 from .html_text import op5_best_region
 from .jaccard import op1_blocked_product
+from .lattice import op11_lattice_edges
 from .pii import op13_weak_supervision
 from .prefix_tree import op12_patricia
 from .quality import op8_token_fertility
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_fertility": op8_token_fertility,
     "op9_unigram_pieces": op9_unigram_pieces,
     "op10_template_windows": op10_template_windows,
+    "op11_lattice_edges": op11_lattice_edges,
     "op12_patricia": op12_patricia,
     "op13_weak_supervision": op13_weak_supervision,
 }
@@ -48,6 +50,15 @@ m as (select h from f group by 1 having count(*) > 1),
 g as (select distinct doc_id, unnest(range(i, i + 35)) p from f semi join m using (h)),
 k as (select doc_id, string_agg(x, ' ' order by p) t, count(*) c from (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d) anti join g using (doc_id, p) group by 1)
 select d.doc_id, len(w) n_words, len(w) - coalesce(c, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join k using (doc_id)""",
+    "op11_lattice_edges": f"""with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t, {_WORDS.format(text="coalesce(text, '')")} w from documents),
+q as (select doc_id i, bool_or(quality = 1) good, bool_or(toxic = 1) toxic from labels group by 1),
+f as (select part, (case when len(w) < 200 then 'A' else '' end) || (case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end) || (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 'C' else '' end)
+|| (case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end) || (case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end) m, coalesce(good, false)::int good, coalesce(toxic, false)::int toxic from d left join q on i = doc_id),
+g as (select part, m, count(*) n, sum(good) good, sum(toxic) toxic from f group by 1, 2), l as (select unnest(['A', 'B', 'C', 'D', 'E']) x),
+o as (select a.x || b.x || c.x || d.x || e.x o from l a, l b, l c, l d, l e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select part, o, k, substr(o, k, 1) x, m, n, good, toxic, len(list_intersect(string_split(substr(o, 1, k - 1), ''), string_split(m, ''))) > 0 and k > 1 gone, contains(m, substr(o, k, 1)) fails from g, o, (select unnest([1, 2, 3, 4, 5]) k)),
+r as (select part, o filter_order, k::int step, any_value(x) x, sum(n) filter (not gone and not fails) kept, sum(n) filter (not gone and fails) removed, sum(n) filter (gone and fails) redundant, sum(n) filter (m = x) unique_fails, sum(good) filter (not gone and fails) good_lost, sum(toxic) filter (not gone and fails) toxic_lost from s group by 1, 2, 3)
+select part, filter_order, step, coalesce(kept, 0)::bigint kept, coalesce(removed, 0)::bigint removed, coalesce(redundant, 0)::bigint redundant, coalesce(unique_fails, 0)::bigint unique_fails, coalesce(good_lost, 0)::bigint good_lost, coalesce(toxic_lost, 0)::bigint toxic_lost, coalesce(sum(removed) over (partition by part, x), 0)::bigint shapley from r""",
     "op12_patricia": f"""with t as (select conv_id c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) k, len({_WORDS.format(text="coalesce(text, '')")}) w from conversations where conv_id is not null),
 o as (select *, row_number() over (partition by c order by turn nulls first, k) i from t),
 h as (select c, c - c % 20 b, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::varchar, ''), lambda x: [ord(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, case when xor(a, b) % 2 = 1 then 3988292384 else 0 end)), 4294967295) % 4 h from (select distinct c from o)),
