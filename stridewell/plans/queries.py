@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import TASKS
 from ..functions import layers
-from ..operators import features, metrics, signal, splits, stats
+from ..operators import asof, features, metrics, moments, signal, splits, stats
 from ..sources import recordings
 from . import experiment
 
@@ -179,6 +179,25 @@ def windows_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l_windows(spark, sf_dir).groupBy(*L_KEYS).agg(F.count("*").alias("n_windows"), r(sums[0], 3).alias("mean_quantity"), r(sums[1], 2).alias("mean_price"))
 
 
+@query("""with b as (select user_id, min(ts) t0, max(ts) t1 from events group by 1), g as (select user_id, j, t0 + j * interval 12 hour t from b, unnest(range(0, 1 + (epoch_us(t1) - epoch_us(t0)) // 43200000000)) u(j)),
+lo as (select user_id, ts, arg_max(value, (event_id, value)) v from events group by 1, 2), hi as (select user_id, ts, arg_min(value, (event_id, value)) v from events group by 1, 2),
+p as (select g.*, lo.ts a, lo.v av from g asof join lo on g.user_id = lo.user_id and g.t >= lo.ts), n as (select p.*, hi.ts z, hi.v zv from p asof left join hi on p.user_id = hi.user_id and p.t < hi.ts)
+select user_id, j, epoch_us(t) us, round(case when t = a then av else av + (zv - av) * ((epoch_us(t) - epoch_us(a)) / (epoch_us(z) - epoch_us(a))) end, 4) v from n""")
+def c_resample_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's values twice a day, between their neighbours in time."""
+    out = asof.resample_times(table(spark, sf_dir, "events"), E_KEYS, "ts", {"v": "value"}, 12 * 3600 * 10**6, ("event_id",))
+    return out.select("user_id", "j", F.unix_micros("ts").alias("us"), r("v", 4).alias("v"))
+
+
+@query("""with v as (select user_id, ts, arg_max(event_id, event_id) event_id from events where event_type = 'view' group by 1, 2), p as (select * from events where event_type = 'purchase')
+select p.event_id, v.event_id seen, (epoch_us(p.ts) - epoch_us(v.ts)) // 1000000 as seconds from p asof left join v on p.user_id = v.user_id and p.ts >= v.ts""")
+def c_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the same user's last view before it."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    out = asof.asof_join(e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'"), E_KEYS, "ts", ties=("event_id",))
+    return out.select("event_id", F.col("match.event_id").alias("seen"), F.expr("(unix_micros(ts) - unix_micros(match.ts)) div 1000000").alias("seconds"))
+
+
 # ---- features
 
 _F = """
@@ -203,6 +222,53 @@ def d_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.extract(l_windows(spark, sf_dir)).select(*L_KEYS, F.col("widx").cast("bigint").alias("widx"), r(F.col("feat")[at], 1).alias("energy"))
 
 
+_CHANNEL = lambda z: f"avg({z}), sqrt(greatest(avg({z} * {z}) - avg({z}) * avg({z}), 0)), min({z}), max({z}), max({z}) - min({z}), sqrt(avg({z} * {z}))"
+_KW = "l_suppkey, l_returnflag, widx"
+#: All features of each window: feat, a list in the order of feature_names().
+_FM = f"""{_L_WIN} {_F},
+kp as (select {_KW}, kk, pow(sum(a * cos(2 * pi() * kk * t / 50)), 2) + pow(sum(a * sin(2 * pi() * kk * t / 50)), 2) p, 50 * sum(a * a) whole from x, (select unnest(range(1, 26)) kk) group by {_KW}, kk),
+sp as (select {_KW}, sum(p) energy, arg_max(kk, (p, -kk)) bin from (select * replace (case when p > 1e-20 * whole then p else 0 end as p) from kp) group by {_KW}),
+fm as (select {_KW}, [{_CHANNEL("a")}, {_CHANNEL("b")}, {_CHANNEL("c")}, {_CHANNEL("d")}, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+avg(acc), sqrt(greatest(avg(acc * acc) - avg(acc) * avg(acc), 0)), max(acc), avg(gyr), sqrt(greatest(avg(gyr * gyr) - avg(gyr) * avg(gyr), 0)), max(gyr), avg(jerk), max(jerk), avg(tilt), max(tilt) - min(tilt), any_value(energy), any_value(bin)]::double[] feat from jk join sp using ({_KW}) group by {_KW})"""
+_DIGITS = [*[3] * 6, *[1] * 6, *[4] * 24, *[1] * 3, *[4] * 3, *[0] * 2, *[5] * 2, 1, 0]
+
+
+@query(f"with {_FM} select {_KW}, unnest(range(0, 48))::int pos, unnest(list_transform(list_zip(feat, {_DIGITS}), lambda z: round(z[1], z[2]::int))) v from fm")
+def d_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature of every window."""
+    digits = F.array(*[F.lit(10.0**d) for d in _DIGITS])
+    got = features.extract(l_windows(spark, sf_dir)).select(*L_KEYS, F.col("widx").cast("bigint").alias("widx"), F.posexplode("feat").alias("pos", "v"))
+    return got.withColumn("v", F.round(F.col("v") * digits[F.col("pos")]) / digits[F.col("pos")])
+
+
+@query(f"""with {_L_WIN}, ch as (select {_KW}, t, unnest([0, 1, 2, 3]) ch, unnest([y0, y1, y2, y3])::double v from w),
+kp as (select {_KW}, ch, kk, pow(sum(v * cos(2 * pi() * kk * t / 50)), 2) + pow(sum(v * sin(2 * pi() * kk * t / 50)), 2) p, 50 * sum(v * v) whole from ch, (select unnest(range(1, 26)) kk) group by {_KW}, ch, kk),
+pp as (select {_KW}, ch, kk, case when p > 1e-20 * whole then p else 0 end p, sum(case when p > 1e-20 * whole then p else 0 end) over (partition by {_KW}, ch) e from kp)
+select {_KW}, ch::int ch, round(any_value(e) / pow(10, floor(log10(any_value(e)))), 5) energy, arg_max(kk, (p, -kk))::int dominant, round(-sum(case when p > 0 then p / e * ln(p / e) else 0 end) / ln(25), 5) entropy,
+round(coalesce(sum(p / e) filter (kk <= 5), 0), 5) low, round(coalesce(sum(p / e) filter (kk > 5 and kk <= 12), 0), 5) mid, round(coalesce(sum(p / e) filter (kk > 12), 0), 5) high from pp group by {_KW}, ch
+union all select distinct {_KW}, c::int, 0, 0, 0, 0, 0, 0 from w, (select unnest([4, 5]) c)""")
+def d_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy (its mantissa), dominant bin, entropy and bands of every channel."""
+    each = features.spectra(l_windows(spark, sf_dir)).select(*L_KEYS, F.col("widx").cast("bigint").alias("widx"), F.posexplode("spectra").alias("ch", "s"))
+    mantissa = F.when(F.col("s.energy") > 0, F.col("s.energy") / F.pow(F.lit(10.0), F.floor(F.log10("s.energy")))).otherwise(0.0)
+    return each.select(*L_KEYS, "widx", "ch", r(mantissa, 5).alias("energy"), "s.dominant", r("s.entropy", 5).alias("entropy"), *[r(F.col("s.bands")[i], 5).alias(n) for i, n in enumerate(("low", "mid", "high"))])
+
+
+@query(f"""with {_FM}, v as (select {_KW}, unnest(range(0, 48)) pos, unnest(feat) v from fm), f as (select distinct l_suppkey fold from fm),
+al as (select fold, pos from f join v on l_suppkey <> fold group by 1, 2 having var_pop(v) > 1e-6),
+co as (select fold, a.pos a, b.pos b, corr(x.v, y.v) r from al a join al b using (fold) join v x on x.pos = a.pos and x.l_suppkey <> fold join v y on y.pos = b.pos and x.l_suppkey = y.l_suppkey and x.l_returnflag = y.l_returnflag and x.widx = y.widx where a.pos < b.pos group by 1, 2, 3),
+nb as (select al.fold, pos, list_prepend(pos, coalesce(list(a) filter (abs(r) > 0.95), [])) e from al left join co on co.fold = al.fold and b = pos group by 1, 2),
+gr as (select fold, list_reduce(list(e order by pos), lambda k, e: case when len(list_intersect(k, e[2:])) = 0 then list_append(k, e[1]) else k end, []::bigint[]) kept from nb group by 1),
+st as (select fold, pos, count(*) n_train, avg(v) mu, stddev_pop(v) sd from f join v on l_suppkey <> fold group by 1, 2)
+select gr.fold l_suppkey, st.pos::int pos, n_train, case when abs(mu) < 1 then round(mu, 6) else round(mu / pow(10, floor(log10(abs(mu)))), 6) end mu, round(sd / pow(10, floor(log10(sd))), 6) sd from gr, st where st.fold = gr.fold and list_contains(kept, st.pos)""")
+def d_select_loso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that each left-out subject's training windows select, with their means and deviations."""
+    folds = moments.select_for_each_fold(features.extract(l_windows(spark, sf_dir)), "l_suppkey", "feat")
+    each = folds.select("l_suppkey", "n_train", F.explode(F.arrays_zip("kept", "mu", "sd")).alias("s")).select("l_suppkey", "n_train", "s.*")
+    scale = lambda c: F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.col(c)))))
+    return each.select("l_suppkey", F.col("kept").alias("pos"), "n_train", F.when(F.abs("mu") < 1, r("mu")).otherwise(r(F.col("mu") / scale("mu"))).alias("mu"), r(F.col("sd") / scale("sd")).alias("sd"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of 16 positions with a constant and a scaled copy of the first."""
     e = table(spark, sf_dir, "embeddings")
