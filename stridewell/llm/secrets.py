@@ -7,10 +7,10 @@ endpoints.  A weak part is reported only if complementary parts lie in its
 scope, so many characters around it; the parts of a document are joined by
 interval, on buckets of that width, as a semi-join that emits no pairs.
 
-Only DataFrame functions run here.  A span's place comes from the lengths of
-what stands between matches (split) and of the matches themselves (extract), so
-the base needs no shuffle; the link step shuffles only the parts of documents
-that have a weak one, and narrow rows without texts.
+Only DataFrame functions run here, in time linear in the text.  A span's place
+comes from the lengths of what stands between matches (split) and of the matches
+themselves (extract), so the base needs no shuffle; the link step shuffles only
+the parts of documents that have a weak one, and narrow rows without texts.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import written
+from .spans import SPAN, bound, joined, later, running, spans
 from .text import read_table
 
 # The patterns of the base, in the order of kinds, with the least length of what counts.
@@ -34,62 +35,32 @@ ENDPOINT = r"""(?:https?|wss?|jdbc:[a-z]+|postgres|mysql|redis|amqp|s3)://[^\x20
 
 #: Code points on either side of a part in which others belong to the same credential.
 SCOPE = 300
-_BLOCK = 256
+#: Code points of a text that are masked at once.
+_BLOCK = 4096
 _KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
-_SPAN = "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
-
-
-def _literal(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
-def _starts(gaps: str, sizes: str) -> str:
-    """Running sums, in blocks, of the gap before each match and the match before that."""
-    steps = f"transform({sizes}, (s, i) -> {gaps}[i] + if(i > 0, {sizes}[i - 1], 0L))"
-    blocks = f"sequence(0, (size({sizes}) - 1) div {_BLOCK})"
-    sums = f"transform({blocks}, k -> aggregate(slice({steps}, k * {_BLOCK} + 1, {_BLOCK}), 0L, (a, x) -> a + x))"
-    return (
-        f"flatten(transform({blocks}, k -> slice(aggregate(slice({steps}, k * {_BLOCK} + 1, {_BLOCK}),"
-        f" array(aggregate(slice({sums}, 1, k), 0L, (a, x) -> a + x)),"
-        f" (a, x) -> concat(a, array(element_at(a, -1) + x))), 2, {_BLOCK})))"
-    )
-
-
-def _with_spans(df: DataFrame, kind: str, pattern: str, gate: Column, value_group: int = 0) -> DataFrame:
-    """Adds the spans of one kind: matches leftmost and non-overlapping, then those long enough."""
-    rank, least = _KINDS.index(kind), LEAST.get(kind, 1)
-    empty = F.array().cast("array<bigint>")
-    sizes = F.transform(F.regexp_extract_all("text", _literal(pattern), F.lit(0)), lambda m: F.length(m).cast("bigint"))
-    df = df.withColumn("gate", gate)
-    df = df.withColumn("sizes", F.when(F.col("gate"), sizes).otherwise(empty))
-    some = F.size("sizes") > 0
-    df = df.withColumn("gaps", F.when(some, F.transform(F.split("text", pattern, -1), lambda x: F.length(x).cast("bigint"))).otherwise(empty))
-    if value_group:
-        values = F.transform(F.regexp_extract_all("text", _literal(pattern), F.lit(value_group)), lambda m: F.length(m).cast("bigint"))
-        df = df.withColumn("counts", F.when(some, values).otherwise(empty))
-    else:
-        df = df.withColumn("counts", F.col("sizes"))
-    df = df.withColumn("starts", F.expr(f"if(size(sizes) > 0, {_starts('gaps', 'sizes')}, cast(array() as array<bigint>))"))
-    spans = f"transform(filter(sequence(0, size(sizes) - 1), i -> counts[i] >= {least}), i -> struct(starts[i] as start, {rank} as rank, '{kind}' as kind, starts[i] + sizes[i] as stop))"
-    return df.withColumn(kind, F.expr(f"if(size(sizes) > 0, cast({spans} as {_SPAN}), cast(array() as {_SPAN}))")).drop("gate", "sizes", "gaps", "counts", "starts")
 
 
 def parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, digest (a hash of the text) and the spans of each kind, one row per row of ``df``."""
+    """id, digest (128 bits of the text) and the spans of each kind, one row per row of ``df``."""
     out = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     low = F.lower("text")
     words = F.lit(False)
     for w in ("password", "passwd", "secret", "token", "apikey", "api_key"):
         words = words | low.contains(w)
-    out = _with_spans(out, "assign", ASSIGN, words, 2)
-    out = _with_spans(out, "access", ACCESS, F.col("text").contains("AKIA"))
-    # runs shorter than the least length never count, and a longer one is never cut by them
-    out = _with_spans(out, "hex", f"[0-9a-f]{{{LEAST['hex']},}}", F.col("text").rlike(f"[0-9a-f]{{{LEAST['hex']}}}"))
-    marks = F.col("text").contains("=") | F.col("text").contains(":") | F.col("text").contains("KIA") | F.col("text").contains("SIA")
-    out = _with_spans(out, "weak_id", WEAK_ID, marks & F.col("text").rlike(WEAK_ID))
-    out = _with_spans(out, "weak_secret", WEAK_SECRET, F.col("text").rlike("[A-Za-z0-9+/_-]{20}") & F.col("text").rlike(WEAK_SECRET))
-    out = _with_spans(out, "endpoint", ENDPOINT, F.col("text").contains("://"))
-    return out.select("id", F.xxhash64("text", F.lit(1)).alias("digest"), *_KINDS)
+    text = F.col("text")
+    marks = text.contains("=") | text.contains(":") | text.contains("KIA") | text.contains("SIA")
+    least = lambda kind, m: F.length(m) >= LEAST[kind]
+    looks = {
+        "assign": (ASSIGN, words, lambda m: least("assign", F.regexp_extract(m, ASSIGN, 2))),
+        "access": (ACCESS, text.contains("AKIA"), lambda m: least("access", m)),
+        # runs shorter than the least length never count, and a longer one is never cut by them
+        "hex": (f"[0-9a-f]{{{LEAST['hex']},}}", text.rlike(f"[0-9a-f]{{{LEAST['hex']}}}"), None),
+        "weak_id": (WEAK_ID, marks & text.rlike(WEAK_ID), None),
+        "weak_secret": (WEAK_SECRET, text.rlike("[A-Za-z0-9+/_-]{20}") & text.rlike(WEAK_SECRET), None),
+        "endpoint": (ENDPOINT, text.contains("://"), None),
+    }
+    out = out.withColumns({kind: spans(text, kind, _KINDS.index(kind), *look) for kind, look in looks.items()})
+    return out.select("id", F.md5("text").alias("digest"), *_KINDS)
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -123,17 +94,13 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return kept.exceptAll(covered).select("id", "digest", F.struct("start", "rank", "kind", "stop").alias("span"))
 
 
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
-
-
 def _all_spans(df: DataFrame, id_col: str, text_col: str, scope: int) -> DataFrame:
     """The rows of parts() with the linked weak spans as ``extra``."""
     found = written(parts(df, id_col, text_col), "secret-parts")
     weak = linked(found, scope).groupBy("id", "digest").agg(F.collect_list("span").alias("weak"))
     weak = weak.select(F.col("id").alias("w_id"), F.col("digest").alias("w_digest"), "weak")
     out = found.join(weak, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")), "left")
-    return out.withColumn("extra", F.coalesce(F.col("weak"), F.array().cast(_SPAN)))
+    return out.withColumn("extra", F.coalesce(F.col("weak"), F.array().cast(SPAN)))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -143,25 +110,69 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     """
     out = _all_spans(df, id_col, text_col, scope)
     base = F.concat("assign", "access", "hex")
-    return out.select("id", *[F.size(k).cast("long").alias(f"n_{k}") for k in LEAST], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, "extra")).alias("spans"), F.size("extra").cast("long").alias("n_linked"))
+    return out.select("id", *[F.size(k).cast("long").alias(f"n_{k}") for k in LEAST], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.concat(base, "extra")).alias("spans"), F.size("extra").cast("long").alias("n_linked"))
+
+
+def _apart(found: Column) -> Column:
+    """Sorted spans as stretches (start, stop) that don't overlap; those that only touch stay apart."""
+
+    def of(s: Column) -> Column:
+        def with_tops(tops: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: s[i]["start"] >= tops[i])
+            stop = lambda h, j: F.when(j + 1 < F.size(h), tops[F.get(h, j + 1)]).otherwise(F.array_max(F.transform(s, lambda x: x["stop"])))
+            return bound(heads, lambda h: F.transform(h, lambda i, j: F.struct(s[i]["start"].alias("start"), stop(h, j).alias("stop"))))
+
+        return bound(running(F.transform(s, lambda x: x["stop"]), later), with_tops)
+
+    return bound(found, of)
+
+
+def _masked(text: Column, found: Column, mark: str) -> Column:
+    """The text with a mark for each stretch of spans, put together from blocks, so that no piece is looked for from the start."""
+    size = F.lit(_BLOCK).cast("bigint")
+    cut = lambda s: F.transform(F.sequence(F.floor(s["start"] / size), F.floor((s["stop"] - 1) / size)), lambda k: F.struct(k.cast("int").alias("k"), F.greatest(s["start"] - k * size, F.lit(0)).cast("int").alias("a"), F.least(s["stop"] - k * size, size).cast("int").alias("b"), (F.floor(s["start"] / size) == k).alias("first")))
+
+    def of(blocks: Column) -> Column:
+        def with_pieces(p: Column) -> Column:
+            def with_heads(h: Column) -> Column:
+                k = lambda i: p[h[i]]["k"]
+                past = lambda i: F.when(i > 0, F.get(p, F.get(h, i - 1))["k"]).otherwise(-1)
+
+                def block(f: Column, i: Column) -> Column:
+                    own = F.slice(p, f + 1, F.when(i + 1 < F.size(h), F.get(h, i + 1)).otherwise(F.size(p)) - f)
+
+                    def masked(text_: Column) -> Column:
+                        def line(g: Column) -> Column:
+                            before = lambda j: F.when(j > 0, F.get(g, j - 1)["b"]).otherwise(0)
+                            each = F.transform(g, lambda x, j: F.concat(F.substring(text_, before(j) + 1, x["a"] - before(j)), F.when(x["first"], mark).otherwise("")))
+                            return F.concat(F.array_join(each, ""), F.substring(text_, F.element_at(g, -1)["b"] + 1, F.lit(_BLOCK)))
+
+                        return bound(own, line)
+
+                    return F.concat(F.array_join(F.slice(blocks, past(i) + 2, k(i) - past(i) - 1), ""), bound(blocks[k(i)], masked))
+
+                rest = F.slice(blocks, F.element_at(p, -1)["k"] + 2, F.size(blocks))
+                return F.concat(F.array_join(F.transform(h, block), ""), F.array_join(rest, ""))
+
+            return bound(F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i - 1)["k"] != p[i]["k"])), with_heads)
+
+        return bound(F.flatten(F.transform(_apart(found), cut)), with_pieces)
+
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)), of)
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``df`` with every span of its texts replaced by ``mark`` (overlapping ones by one mark); other columns stay.
 
-    A row without spans is unchanged, a null text stays null.
+    A row without spans is unchanged, a null text stays null, repeated rows and rows of a null id are masked each,
+    in time linear in the text; names of other columns may be any but ``__id``, ``__digest`` and ``__spans``.
     """
-    spans = _all_spans(df, id_col, text_col, scope).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.array_sort(F.concat("assign", "access", "hex", "extra")).alias("__spans"))
-    spans = written(spans.filter(F.size("__spans") > 0).dropDuplicates(["__id", "__digest"]), "secret-spans")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(1)) == F.col("__digest"))
-    joined = df.join(spans, same, "left")
-    # left to right: what stands before a span, then a mark unless the span overlaps the one before
-    text = F.expr(
-        f"aggregate(__spans, named_struct('at', 0L, 'parts', cast(array() as array<string>)), (a, s) -> named_struct("
-        f"'at', greatest(a.at, s.stop), 'parts', if(s.start < a.at, a.parts, concat(a.parts, array(substring(`{text_col}`, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{mark}')))),"
-        f" a -> concat(array_join(a.parts, ''), substring(`{text_col}`, cast(a.at + 1 as int), length(`{text_col}`))))"
-    )
-    return joined.select(*[F.when(F.col("__spans").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    found = _all_spans(df, id_col, text_col, scope).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.array_sort(F.concat("assign", "access", "hex", "extra")).alias("__spans"))
+    found = written(found.filter(F.size("__spans") > 0).dropDuplicates(["__id", "__digest"]), "secret-spans")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__digest"))
+    out = df.join(found, same, "left")
+    text = _masked(F.col(text_col), F.col("__spans"), mark)
+    return out.select(*[F.when(F.col("__spans").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
 def op2_linked_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,33 @@ def test_odd_rows(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted(kept.collect(), key=key) == sorted(docs.collect(), key=key)
     assert secrets.scan(no_documents(spark)).count() == 0 and secrets.redact(no_documents(spark)).count() == 0
+
+
+def plain_redact(text, spans, mark="[SECRET]"):
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+@pytest.mark.parametrize("n", [1, 300, 20_000])
+def test_many_spans_in_one_text(spark, n):
+    """Assignments that overlap hexadecimal runs, runs across the edges of blocks, characters of several bytes."""
+    kinds = ["é {h} ", "token={h} ", "\U0001f600password: {h}{h} x ", "AKIA{u} secret={h}\n"]
+    text = "".join(kinds[i % 4].format(h=f"{i * 2654435761 % 2**64:016x}" * (1 + i % 3), u=f"{i:016d}") for i in range(n)) + "end"
+    df = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, text, "y"), (2, "clean", "z")], "doc_id long, text string, digest string")
+    want = brute(text)
+    got = secrets.scan(df.limit(1)).first()
+    assert tuple(got)[1:5] == want[:4]
+    found = [s.split(":") for s in got.spans.split(",")]
+    masked = plain_redact(text, [(int(a), int(b)) for _, a, b in found])
+    rows = sorted(map(tuple, secrets.redact(df).collect()), key=str)
+    assert rows == sorted([(1, masked, "x"), (1, masked, "x"), (None, masked, "y"), (2, "clean", "z")], key=str)
+
+
+def test_spans_longer_than_a_block(spark):
+    text = "a" * 4090 + " " + "0123456789abcdef" * 1000 + " token=" + "Z" * 9000 + " tail " + "x y " * 3000
+    want = plain_redact(text, [(a, b) for a, b in [(0, 4090), (4091, 20091), (20092, 29098)]])
+    assert secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == want
