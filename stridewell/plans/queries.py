@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..config import TASKS
 from ..functions import layers
-from ..operators import asof, features, metrics, moments, signal, splits, stats
+from ..operators import asof, batchnorm, epochs, features, metrics, moments, signal, splits, stats
+from ..shared import new_folder
 from ..sources import recordings
-from . import experiment
+from ..streaming import event_windows
+from . import experiment, units
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,6 +136,13 @@ def b_label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.encode(e, "event_type").join(names, "idx").groupBy("event_type", "idx", "decoded").agg(F.count("*").alias("n"))
 
 
+@query("""with c as (select user_id, ts, event_id, event_type, row_number() over o - 1 i, coalesce(lag(event_type) over o <> event_type, false)::int b from events window o as (partition by user_id order by ts, event_id)),
+g as (select *, sum(b) over (partition by user_id order by i) run from c) select user_id, run::bigint run, any_value(event_type) event_type, min(i) "first", count(*) size from g group by 1, 2""")
+def b_label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of equal labels in each user's events."""
+    return epochs.label_runs(table(spark, sf_dir, "events"), E_KEYS, ("ts", "event_id"), "event_type")
+
+
 # ---- signals
 
 
@@ -198,6 +207,17 @@ def c_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("match.event_id").alias("seen"), F.expr("(unix_micros(ts) - unix_micros(match.ts)) div 1000000").alias("seconds"))
 
 
+@query("""with t as (select (max(epoch_us(ts)) // 1000 - 86400000) * 1000 until from events), e as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 i from events, t where epoch_us(ts) <= until),
+w as (select user_id, k, value from (select *, max(i) over (partition by user_id) top, unnest(range(greatest(0, (i - 4) // 4), i // 4 + 1)) k from e) where 4 * k <= i and i < 4 * k + 8 and 4 * k + 8 <= top + 1)
+select user_id, k widx, round(sum(value), 3) total from w group by 1, 2""")
+def c_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of each user's events, read as a stream, up to a day before the last of them."""
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    stream = e.select(F.col("user_id").cast("string").alias("rec"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("pos"), "value")
+    out = event_windows.windows_so_far(stream, new_folder(spark, "event-windows"), 8, 4, "1 day")
+    return out.select(F.col("rec").cast("bigint").alias("user_id"), "widx", r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
+
+
 # ---- features
 
 _F = """
@@ -436,6 +456,22 @@ def f_batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f_loso_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.loso(e_windows(spark, sf_dir), "user_id").groupBy("user_id", "fold").agg(F.count("*").alias("n"))
 
+_MIX = lambda x, k: f"((xor(({x} % 1073741824 * 2654435761 + {k}) % 4294967296, (({x} % 1073741824 * 2654435761 + {k}) % 4294967296) >> 15) * 40503) // 256)"
+_KEY = lambda k: f"((7 * 1000003 + epoch::bigint * 7919 + {k + 1} * 104729 + 12345) * 69069 % 2147483648)"
+_ROUND = lambda src, dst: f"""{dst}1 as (select *, (i // b + {_MIX("(i % b)", _KEY(0))}) % a l1 from {src}), {dst}2 as (select *, (i % b + {_MIX("l1", _KEY(1))}) % b r1 from {dst}1),
+{dst}3 as (select *, (l1 + {_MIX("r1", _KEY(2))}) % a l2 from {dst}2), {dst} as (select epoch, n, a, b, q, l2 * b + (r1 + {_MIX("l2", _KEY(3))}) % b i from {dst}3)"""
+
+
+@query(f"""with recursive s as (select count(*) n, ceil(sqrt(count(*)))::bigint a from lineitem), t as (select n, a, (n + a - 1) // a b from s),
+z as (select l_quantity q, row_number() over (order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 i, n, a, b from lineitem, t), e as (select z.*, epoch from z, (select unnest([0, 1]) epoch)),
+{_ROUND("e", "p")}, w(epoch, n, a, b, q, i) as (select * from p union all select epoch, n, a, b, q, l2 * b + (r1 + {_MIX("l2", _KEY(3))}) % b from (select *, (l1 + {_MIX("r1", _KEY(2))}) % a l2 from (select *, (i % b + {_MIX("l1", _KEY(1))}) % b r1
+from (select *, (i // b + {_MIX("(i % b)", _KEY(0))}) % a l1 from w where i >= n)))) select epoch, i // least(n, 512) batch, count(*) n_rows, round(sum(q), 2) quantity from w where i < n and i // least(n, 512) < n // least(n, 512) group by 1, 2""")
+def f_epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and quantity of each batch of two epochs."""
+    own = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = epochs.numbered(own, own.columns).select("row", "n", "l_quantity")
+    return epochs.epoch_batches(rows, 2, seed=7).groupBy("epoch", "batch").agg(F.count("*").alias("n_rows"), r(F.sum("l_quantity"), 2).alias("quantity"))
+
 
 # ---- layers and losses
 
@@ -539,6 +575,45 @@ def g_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.fit_predict(folded, mode="fic", seeds=(0,), epochs=2)
 
 
+def _linear(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    from dataclasses import replace
+
+    from ..config import DEFAULTS
+    from ..models import linear
+
+    row = F.concat_ws("/", F.col("l_suppkey").cast("string"), "l_returnflag", F.col("widx").cast("string"))
+    w = features.extract(l_windows(spark, sf_dir)).select(row.alias("window_id"), F.col("l_returnflag").alias("y"), "feat")
+    return linear.fit_predict_linear(splits.stratified_kfold(w, "y", "window_id"), mode, settings=replace(DEFAULTS, lr=0.05))
+
+
+@query(None)
+def g_linear_erm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of every window by softmax regression on the other folds, trained where the windows are."""
+    return _linear(spark, sf_dir, "erm")
+
+
+@query(None)
+def g_linear_sam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by sharpness-aware minimisation, two passes a step."""
+    return _linear(spark, sf_dir, "sam")
+
+
+_BN = """u as (select vec_id, vec_id // 64 batch, unnest(range(0, 64)) // 8 ch, unnest(range(0, 64)) % 8 t, unnest(embedding)::double v from embeddings),
+bs as (select batch, ch, count(*) n, avg(v) mean, var_pop(v) var from u group by 1, 2), bl as (select *, 0.1 * pow(0.9, max(batch) over () - batch) w, max(batch) over () last from bs),
+rs as (select ch, sum(w * mean) mean, pow(0.9, any_value(last) + 1) + sum(w * var * n / (n - 1)) var from bl group by 1)"""
+
+
+@query(f"""with {_BN}, f as (select 'train' form, vec_id, u.ch, t, (v - mean) / sqrt(var + 1e-5) z from u join bs using (batch, ch) union all select 'infer', vec_id, u.ch, t, (v - mean) / sqrt(var + 1e-5) from u join rs using (ch))
+select form, vec_id, ch::int ch, round(sum(z), 5) total, round(sum(z * z), 5) squares, round(max(z), 5) most from f group by 1, 2, 3""")
+def g_batchnorm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 channels of 8, in batches of 64 ids: sums of the normalised values in both forms."""
+    e = _doubles(spark, sf_dir).withColumn("batch", F.floor(F.col("vec_id") / 64))
+    running = batchnorm.running_statistics(batchnorm.batch_statistics(e, "batch", "x", 8))
+    both = batchnorm.normalize_batches(e, "batch", "x", 8).withColumn("form", F.lit("train")).unionByName(batchnorm.normalize_running(e, running, "x", 8).withColumn("form", F.lit("infer")))
+    part = both.select("form", "vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.slice("x", c * 8 + 1, F.lit(8)))).alias("ch", "z"))
+    return part.select("form", "vec_id", "ch", r(layers.total(F.col("z")), 5).alias("total"), r(layers.dot(F.col("z"), F.col("z")), 5).alias("squares"), r(F.array_max("z"), 5).alias("most"))
+
+
 # ---- experiments
 
 
@@ -562,6 +637,29 @@ def h_resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.remaining(plan, plan.filter("task = 'binary' and protocol = 'cv' and seed < 2")).select(*experiment.UNIT)
 
 
+_SUBJ = """f as (select 'cv' protocol, unnest(range(0, 5))::int fold union all select 'loso', (dense_rank() over (order by s_nationkey) - 1)::int from (select distinct s_nationkey from lineitem join supplier on l_suppkey = s_suppkey)),
+u as (select task, mode, s.protocol, seed::int seed, fold from (select unnest(['binary', 'adl_only', 'fall_only', 'flat15']) task), (select unnest(['erm', 'sam', 'fic', 'sam_fic']) mode), (select * from (values ('cv', 0), ('cv', 1), ('cv', 2), ('loso', 0)) v(protocol, seed)) s join f on s.protocol = f.protocol)"""
+
+
+@query(f"with {_SUBJ} select task, mode, protocol, seed, fold from u where not (task = 'binary' and mode in ('erm', 'sam') and (protocol = 'loso' or seed < 2))")
+def h_resume_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a plan whose folds are subjects, after a run that committed some of its parts."""
+    subjects = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")).distinct().join(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_nationkey").alias("subj"))
+    loso = splits.loso(subjects.distinct(), "subj").select(F.lit("loso").alias("protocol"), "fold")
+    plan = experiment.work_plan(spark, spark.range(5).select(F.lit("cv").alias("protocol"), F.col("id").cast("int").alias("fold")).unionByName(loso))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_returnflag").alias("y")).agg(F.count("*").alias("n"))
+    own = rows.select((F.col("l_suppkey") % 5).cast("int").alias("at"), "l_suppkey", "y")
+
+    def predict(todo: DataFrame) -> DataFrame:
+        each = todo.join(own, F.col("fold") % 5 == F.col("at"))
+        return each.select(*experiment.UNIT, "settings", F.col("l_suppkey").alias("window_id"), "y", F.lit("N").alias("p"))
+
+    folder = new_folder(spark, "units")
+    some = plan.filter("task = 'binary' and mode in ('erm', 'sam') and (protocol = 'loso' or seed < 2)")
+    units.run_units(some, folder, predict)
+    return units.remaining_units(plan, folder).select(*experiment.UNIT)
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of the seeded stand-in: seeds 0 and 1 as cv, 2 as loso, by every mode."""
     pred = _seeded(spark, sf_dir).withColumn("task", F.lit("flat")).withColumn("protocol", F.when(F.col("seed") == 2, "loso").otherwise("cv")).withColumn("mode", F.explode(F.array(F.lit("erm"), F.lit("fic")))).withColumn("fold", (F.col("user_id") % 5).cast("int"))
