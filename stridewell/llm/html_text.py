@@ -47,6 +47,7 @@ TAG_SCORE = -0.25
 MASKED = -0.5
 OUTSIDE = -3.0
 #: An element with such a share of the page's words and one of these elements in it wraps the page; its names mask nothing.
+#: Nor do those of one with such a share of the words in main elements, be it around them or in them.
 WRAPS = 0.9
 LANDMARKS = ("h1", "main", "nav")
 
@@ -103,7 +104,8 @@ def runs(page: str) -> Iterator[tuple[str, bool, tuple[frozenset[str], ...], boo
             if tag not in VOID and not m["rest"].endswith("/"):
                 names = {"." + p for g in _NAMES.findall(_ANCHOR.sub(" ", m["rest"]) if tag in ANCHORED else m["rest"]) for w in "".join(g).lower().split() for p in _parts(w)}
                 stack.append((tag, frozenset(names | {tag})))
-        yield tag, False, (), tag not in INLINE
+        # a button stands in a sentence like a word, though its own is masked
+        yield tag, False, (), tag not in INLINE and tag != "button"
     if at < len(page):
         yield page[at:], True, tuple(f for _, f in stack), False
 
@@ -207,9 +209,21 @@ def _spared(parts: list[tuple], weights: dict[str, float]) -> dict[tuple, tuple]
                 if n and any(f & set(LANDMARKS) for f in around[k + 1 :]):
                     marks.add(around[: k + 1])
     most = WRAPS * size.total()
+    # words in main elements that no name of theirs masks, and those under each masking element around or in them
+    main_words, held = 0, Counter()
+    for around, n in size.items():
+        at = next((k for k, names in enumerate(around) if names & set(MAIN) and not any(_decides(x, weights) for x in names)), None)
+        if at is not None and n:
+            main_words += n
+            for k, names in enumerate(around):
+                # in a main element, a class may say "banner" of what is all of its text; an element like aside means it
+                if any(_decides(x, weights) for x in names) and (k < at or not any(_decides(x, weights) for x in names & set(BAD_TAGS))):
+                    held[around[: k + 1]] += n
 
     def own(around: tuple, k: int) -> frozenset[str]:
         names, path = around[k], around[: k + 1]
+        if held[path] and held[path] >= WRAPS * main_words:
+            return frozenset(n for n in names if not _decides(n, weights))
         if names & {"html", "body"} or path in marks and words[path] >= most:
             return frozenset(n for n in names if not _decides(n, weights) or n in BAD_TAGS and n != "form")
         return names

@@ -109,3 +109,29 @@ def test_scripts_and_anchors_leave_sentences_whole(spark):
     weights = learned(spark)
     wrap = "<article><h1>One title</h1><p id='notice-period'>A sentence with <script>track()</script>a script in it, and long enough.</p><h2 id=related-work>Related work</h2><p>What others did before, in some more words.</p></article>"
     assert html_text.main_text(page(wrap), weights) == "One title\n\nA sentence with a script in it, and long enough.\n\nRelated work\n\nWhat others did before, in some more words."
+
+
+PROSE = "The river runs past the old mill and turns south before it meets the road again at noon."
+
+
+def test_names_of_what_holds_the_main_text_mask_nothing(spark):
+    weights = learned(spark)
+    for layout in (
+        f"<body><div class='header-fixed layout'><article><p>{PROSE}</p></article></div></body>",
+        f"<body><article><div class='related-work'><p>{PROSE}</p></div></article></body>",
+        f"<body><article><div class='banner-image'><p>{PROSE}</p></div></article></body>",
+        f"<body><nav><ul><li>a<article><p>{PROSE}</p></article></body>",
+        f"<body><div class='has-sidebar sidebar-layout'><nav><a href=/>Home</a></nav><main><p>{PROSE}</p></main><div class=sidebar><p>Read next</p></div></div></body>",
+    ):
+        assert html_text.main_text(layout, weights) == PROSE, layout
+    # what isn't most of the main text, or is a comment, or an aside of its own, still goes
+    for layout, want in (
+        (f"<body><article><p>{PROSE}</p><p>{PROSE}</p><div class='related-work'><p>Read this next.</p></div></article></body>", f"{PROSE}\n\n{PROSE}"),
+        (f"<body><div class=comments><article class=comment><p>{PROSE}</p></article></div></body>", ""),
+        (f"<body><main><aside><p>{PROSE}</p></aside></main></body>", ""),
+    ):
+        assert html_text.main_text(layout, weights) == want, layout
+
+
+def test_a_button_in_a_sentence_does_not_end_it(spark):
+    assert html_text.main_text(f"<body><article><p>{PROSE}</p><p>Press <button>OK</button> now.</p></article></body>", learned(spark)) == f"{PROSE}\n\nPress now."
