@@ -27,36 +27,55 @@ def round_key(seed: int, epoch: Column, k: int) -> Column:
     return (F.lit(seed) * 1000003 + epoch.cast("bigint") * 7919 + (k + 1) * 104729 + 12345) * 69069 % 2147483648
 
 
-def mixed(x: Column, key: Column) -> Column:
-    """A number below 2 ** 40 that depends on all bits of x (below 2 ** 30) and the key."""
-    t = (x % 1073741824 * 2654435761 + key) % 4294967296
-    return F.floor(t.bitwiseXOR(F.shiftright(t, 15)) * 40503 / 256).cast("bigint")
+def _spread(x: Column, key: Column) -> Column:
+    return (x % 1073741824 * 2654435761 + key) % 4294967296
 
 
-def _rounds(i: Column, a: Column, b: Column, keys: Sequence[Column]) -> Column:
-    l, r = F.floor(i / b).cast("bigint"), i % b  # noqa: E741
-    for k, key in enumerate(keys):
-        if k % 2 == 0:
-            l = (l + mixed(r, key)) % a  # noqa: E741
-        else:
-            r = (r + mixed(l, key)) % b
-    return l * b + r
+def _folded(t: Column) -> Column:
+    """A number below 2 ** 40 that depends on all bits of t."""
+    return F.shiftright(t.bitwiseXOR(F.shiftright(t, 15)) * 40503, 8)
+
+
+def _div(x: Column, y: Column) -> Column:
+    return ((x - x % y) / y).cast("bigint")
+
 
+def _walk(p: Column) -> Column:
+    """Goes through the rounds until the place is below n; p has a, b, n, the keys and where to begin."""
+    mixed = lambda x, k: F.transform(F.array(_spread(x, p[3 + k])), _folded)[0]
 
-def place(i: Column, n: Column, seed: int, epoch: Column) -> Column:
-    """Where row i of 0 .. n - 1 stands in an epoch; n up to 2 ** 48."""
-    i, n = i.cast("bigint"), n.cast("bigint")
-    a = F.ceil(F.sqrt(n.cast("double"))).cast("bigint")
-    b = F.floor((n + a - 1) / a).cast("bigint")
-    made = F.array(a, b, n, *[round_key(seed, epoch, k) for k in range(ROUNDS)])
+    def rounds(i: Column) -> Column:
+        l, r = _div(i, p[1]), i % p[1]  # noqa: E741
+        for k in range(ROUNDS):
+            if k % 2 == 0:
+                l = (l + mixed(r, k)) % p[0]  # noqa: E741
+            else:
+                r = (r + mixed(l, k)) % p[1]
+        return l * p[1] + r
 
-    def walk(p: Column) -> Column:
-        go = lambda x: _rounds(x, p[0], p[1], [p[3 + k] for k in range(ROUNDS)])
-        stay = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, lambda y, _: F.when(y < p[2], y).otherwise(go(y)))
-        end = F.transform(F.array(go(i)), lambda x: F.when(x < p[2], x).otherwise(stay(x)))[0]
-        return F.transform(F.array(end), lambda x: F.when(x < p[2], x).otherwise(F.raise_error(F.lit("a walk did not end")).cast("bigint")))[0]
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), p[3 + ROUNDS], lambda y, s: F.when((s > 0) & (y < p[2]), y).otherwise(rounds(y)))
+    return F.transform(F.array(end), lambda x: F.when(x < p[2], x).otherwise(F.raise_error(F.lit("a walk did not end")).cast("bigint")))[0]
 
-    return F.transform(F.array(made), walk)[0]
+
+def placed(df: DataFrame, row: str, n: Column, seed: int, epoch: Column, name: str = "place") -> DataFrame:
+    """``df`` with where row ``row`` of 0 .. n - 1 stands in an epoch; n up to 2 ** 48.
+
+    Once through the rounds is compiled arithmetic, a column for each step; the few rows that must walk on do so in an
+    array function.
+    """
+    i, keys = F.col(row).cast("bigint"), [f"__k{k}" for k in range(ROUNDS)]
+    out = df.withColumn("__n", n.cast("bigint")).withColumns({key: round_key(seed, epoch, k) for k, key in enumerate(keys)})
+    out = out.withColumn("__a", F.ceil(F.sqrt(F.col("__n").cast("double"))).cast("bigint"))
+    out = out.withColumn("__b", _div(F.col("__n") + F.col("__a") - 1, F.col("__a")))
+    out = out.withColumns({"__l": _div(i, F.col("__b")), "__r": i % F.col("__b")})
+    for k, key in enumerate(keys):
+        x, y, base = ("__r", "__l", "__a") if k % 2 == 0 else ("__l", "__r", "__b")
+        out = out.withColumn("__t", _spread(F.col(x), F.col(key)))
+        out = out.withColumn(y, (F.col(y) + _folded(F.col("__t"))) % F.col(base))
+    out = out.withColumn("__x", F.col("__l") * F.col("__b") + F.col("__r"))
+    start = F.array("__a", "__b", "__n", *keys, i)
+    out = out.withColumn("__place", F.when(F.col("__x") < F.col("__n"), F.col("__x")).otherwise(F.transform(F.array(start), _walk)[0]))
+    return out.select(*df.columns, F.col("__place").alias(name))
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "row") -> DataFrame:
@@ -83,7 +102,7 @@ def epoch_batches(rows: DataFrame, epochs: int, seed: int = 0, batch: int = DEFA
     """
     size = F.least(F.col("n"), F.lit(batch))
     each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    each = each.withColumn("batch", F.floor(place(F.col(row), F.col("n"), seed, F.col("epoch")) / size).cast("bigint"))
+    each = placed(each, row, F.col("n"), seed, F.col("epoch"), "batch").withColumn("batch", _div(F.col("batch"), size))
     return each.filter(F.col("batch") < F.floor(F.col("n") / size))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..config import CHANNELS, DEFAULTS
+from . import moments
 
 STATS = ("mean", "std", "min", "max", "range", "rms")
 
@@ -109,55 +110,37 @@ def spectra(windows: DataFrame, bands: Sequence[float] = BANDS) -> DataFrame:
     return _beside(windows, "spectra", kind, of)
 
 
-def variances(df: DataFrame, feat: str = "feat", size: int | None = None) -> DataFrame:
-    """pos and var_pop of each position; positions become rows, as many as features."""
-    return df.select(F.posexplode(feat).alias("pos", "v")).groupBy("pos").agg(F.var_pop("v").alias("var"))
+def _whole(df: DataFrame, feat: str) -> moments.Moments | None:
+    """The moments of all rows, from one pass; None for an empty table."""
+    rows = moments.whole(df, feat).collect()  # one row of fixed size
+    return moments.Moments(rows[0].n, np.array(rows[0].mean), np.reshape(rows[0].m2, (len(rows[0].mean), -1))) if rows else None
+
+
+def variances(df: DataFrame, feat: str = "feat") -> DataFrame:
+    """pos and var (population) of each position; rows with a null in ``feat`` are left out."""
+    m = _whole(df, feat)
+    return df.sparkSession.createDataFrame([] if m is None else [(i, float(v / m.n)) for i, v in enumerate(np.maximum(np.diag(m.m2), 0))], "pos int, var double")
 
 
 def correlated_pairs(df: DataFrame, positions: Sequence[int], feat: str = "feat", threshold: float = DEFAULTS.corr_threshold) -> DataFrame:
     """a, b, r of the pairs of positions whose correlation is beyond the threshold.
 
-    Two passes: the means, then one matrix of products about them, to which a task adds its batches;
-    a task gives a row for each pair.  Pairs with a constant side have no correlation.
+    One pass takes the matrix of products about the mean.  Pairs with a constant side have no correlation.
     """
-    if len(positions) < 2:
-        return df.sparkSession.createDataFrame([], "a int, b int, r double")
-    own = df.select(F.array(*[F.col(feat)[p].cast("double") for p in positions]).alias("v")).filter("not exists(v, x -> x is null)")
-    means = own.select(F.posexplode("v").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mu"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    center = np.zeros(len(positions))
-    for r in means.collect():  # one row for each position
-        center[r.pos] = r.lo if r.lo == r.hi else r.mu
-    at = np.array(positions)
-    i, j = np.triu_indices(len(positions))
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = np.zeros((len(at), len(at)))
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy().reshape(-1, len(at)) - center
-            gram += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(gram[i, j])], ["i", "j", "s"])
-
-    sums = own.mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    length = sums.filter("i = j")
-    both = sums.filter("i < j").join(length.select("i", F.col("s").alias("si")), "i").join(length.select("j", F.col("s").alias("sj")), "j")
-    of = F.array(*[F.lit(int(p)) for p in at])
-    return both.select(of[F.col("i")].alias("a"), of[F.col("j")].alias("b"), F.try_divide("s", F.sqrt(F.col("si") * F.col("sj"))).alias("r")).filter(F.abs("r") > threshold)
+    m, out = _whole(df, feat), []
+    if m is not None:
+        d = np.sqrt(np.maximum(np.diag(m.m2), 0))
+        for i, a in enumerate(positions):
+            for b in positions[i + 1 :]:
+                if d[a] > 0 and d[b] > 0 and abs(m.m2[a, b] / (d[a] * d[b])) > threshold:
+                    out.append((a, b, float(m.m2[a, b] / (d[a] * d[b]))))
+    return df.sparkSession.createDataFrame(out, "a int, b int, r double")
 
 
 def select_positions(df: DataFrame, feat: str = "feat", var_threshold: float = DEFAULTS.var_threshold, corr_threshold: float = DEFAULTS.corr_threshold) -> list[int]:
-    """Positions kept: variance above the threshold, then in order, none correlated with one already kept.
-
-    Only the statistics come to the driver, as many as features and pairs of them.
-    """
-    alive = sorted(r.pos for r in variances(df, feat).filter(F.col("var") > var_threshold).collect())
-    near: dict[int, set[int]] = {}
-    for r in correlated_pairs(df, alive, feat, corr_threshold).collect():
-        near.setdefault(r.b, set()).add(r.a)
-    kept: list[int] = []
-    for p in alive:
-        if not near.get(p, set()) & set(kept):
-            kept.append(p)
-    return kept
+    """Positions kept: variance above the threshold, then in order, none correlated with one already kept; one pass."""
+    m = _whole(df, feat)
+    return [] if m is None else moments.greedy(m, var_threshold, corr_threshold)[0]
 
 
 def keep(df: DataFrame, kept: Sequence[int], feat: str = "feat") -> DataFrame:

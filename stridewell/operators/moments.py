@@ -153,6 +153,12 @@ def total(parts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_merge, own).repartition(1).mapInArrow(_merge, own).drop("g")
 
 
+def whole(df: DataFrame, x: str) -> DataFrame:
+    """n, mean and m2 of the vectors ``x`` of all rows; a task sends one row."""
+    rows = df.select(F.lit(0).alias("g"), F.col(x).cast("array<double>").alias("x")).filter("x is not null and not exists(x, v -> v is null)")
+    return total(rows.mapInArrow(_first, f"g int, {_MOMENTS}"))
+
+
 def greedy(m: Moments, var_threshold: float, corr_threshold: float) -> tuple[list[int], np.ndarray]:
     """Positions kept, and the population deviations: variance above the threshold, then in order, none that
     correlates beyond the other threshold with one kept before."""

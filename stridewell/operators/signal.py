@@ -7,8 +7,10 @@ taken as arrays (``resample``, ``windows``), in one shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,13 +82,54 @@ def resampled_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], cha
     return out.select(*[F.col(k).alias(c) for c, k in zip(keys, key, strict=True)], "n", "m", "j", F.array(*value).alias("v"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], keys: int, win: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, m, j, v) sorted by keys and j as pieces of windows: keys, widx, j of the first sample, and x, a list for each channel.
+
+    A stretch of consecutive samples of a series in a batch gives each window that it meets its part of it, mostly the whole.
+    """
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
+        m, j = batch.column(keys).to_numpy(), batch.column(keys + 1).to_numpy()
+        v = batch.column(keys + 2).flatten()
+        breaks = np.ones(n, bool)
+        breaks[1:] = np.diff(j) != 1
+        for c in batch.columns[:keys]:
+            breaks[1:] |= np.diff(c.dictionary_encode(null_encoding="encode").indices.to_numpy()) != 0
+        start = np.flatnonzero(breaks)
+        low, stop = j[start], j[start] + np.diff(np.append(start, n))
+        first = np.maximum(0, -((win - 1 - low) // step))
+        last = np.minimum((stop - 1) // step, (m[start] - win) // step)
+        count = np.maximum(last - first + 1, 0)
+        run = np.repeat(np.arange(len(start)), count)
+        ragged = lambda lengths: np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        widx = first[run] + ragged(count)
+        a, b = np.maximum(low[run], widx * step), np.minimum(stop[run], widx * step + win)
+        inside = b > a  # none in the gap between windows that don't touch
+        run, widx, a, b = run[inside], widx[inside], a[inside], b[inside]
+        at, channels = start[run] + a - low[run], len(v) // n
+        lengths = np.repeat(b - a, channels)
+        rows = np.repeat(np.repeat(at, channels), lengths) + ragged(lengths)
+        values = v.take(pa.array(rows * channels + np.repeat(np.tile(np.arange(channels), len(at)), lengths)))
+        each = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), values)
+        x = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * channels), each)
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[:keys]), pa.array(widx, pa.int64()), pa.array(a, pa.int64()), x], [*batch.schema.names[:keys], "widx", "j", "x"])
+
+
 def windows_of_rows(rows: DataFrame, keys: Sequence[str], win: int = 50, step: int = 25) -> DataFrame:
-    """The windows of ``windows`` from samples of ``resampled_rows``: a group of ``win`` rows each."""
-    first, last = f"greatest(0L, (j - {win} + {step}) div {step})", f"least(j div {step}, (m - {win}) div {step})"
-    at = rows.filter(f"m >= {win}").withColumn("__first", F.expr(f"if(j < {win}, 0L, {first})")).withColumn("__last", F.expr(last))
-    each = at.filter("__first <= __last").select(*keys, "j", "v", F.explode(F.expr("sequence(__first, __last)")).alias("widx"))
-    cut = each.groupBy(*keys, "widx").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("__rows"))
-    return cut.select(*keys, F.col("widx").cast("int").alias("widx"), F.expr("transform(sequence(0, size(__rows[0].v) - 1), c -> transform(__rows, s -> s.v[c]))").alias("x"))
+    """The windows of ``windows`` from samples of ``resampled_rows``.
+
+    Samples are packed where they lie: a partition gives each window that it meets one piece, so what is shuffled is a
+    row for each window, and one more for those that partitions cut.  Null keys are a series; repeated samples of
+    a series are no series.
+    """
+    own = rows.filter(f"m >= {win}").select(*keys, "m", "j", "v").sortWithinPartitions(*keys, "j")
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    pieces = own.mapInArrow(lambda batches: _pieces(batches, len(keys), win, step), f"{kinds}, widx long, j long, x array<array<float>>")
+    cut = pieces.groupBy(*keys, "widx").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("__p"))
+    joined = F.when(F.size("__p") == 1, F.col("__p")[0]["x"]).otherwise(F.expr("transform(sequence(0, size(__p[0].x) - 1), c -> flatten(transform(__p, p -> p.x[c])))"))
+    return cut.select(*keys, F.col("widx").cast("int").alias("widx"), joined.alias("x"))
 
 
 def samples(resampled: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from ..config import TASKS
 from ..functions import layers
 from ..operators import asof, batchnorm, epochs, features, metrics, moments, signal, splits, stats
 from ..shared import new_folder
-from ..sources import recordings
+from ..sources import recordings, results
 from ..streaming import event_windows
 from . import experiment, units
 
@@ -290,13 +290,13 @@ def d_select_loso(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings of 16 positions with a constant and a scaled copy of the first."""
+    """Embeddings with a constant and a scaled copy of the first position."""
     e = table(spark, sf_dir, "embeddings")
-    x = F.concat(F.slice(F.col("embedding").cast("array<double>"), 1, 16), F.array(F.lit(1.0), F.col("embedding")[0].cast("double") * 2 + F.col("embedding")[1].cast("double") * 0.001))
+    x = F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(1.0), F.col("embedding")[0].cast("double") * 2 + F.col("embedding")[1].cast("double") * 0.001))
     return e.select("vec_id", F.col("label").alias("y"), x.alias("feat"))
 
 
-_V = "v as (select vec_id, label y, list_concat(list_transform(embedding[1:16], lambda z: z::double), [1.0::double, embedding[1]::double * 2 + embedding[2]::double * 0.001::double]) feat from embeddings), p as (select vec_id, y, unnest(range(0, 18)) pos, unnest(feat) v from v)"
+_V = "v as (select vec_id, label y, list_concat(list_transform(embedding, lambda z: z::double), [1.0::double, embedding[1]::double * 2 + embedding[2]::double * 0.001::double]) feat from embeddings), p as (select vec_id, y, unnest(range(0, 66)) pos, unnest(feat) v from v)"
 _C = f"{_V}, k as (select pos from p group by 1 having var_pop(v) > 1e-6), c as (select a.pos::int a, b.pos::int b, corr(a.v, b.v) r from p a, p b where a.vec_id = b.vec_id and a.pos < b.pos and a.pos in (select pos from k) and b.pos in (select pos from k) group by 1, 2)"
 
 
@@ -307,7 +307,7 @@ def d_variance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_C} select a, b, round(r, 4) r from c where abs(r) > 0.95")
 def d_corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.correlated_pairs(_vectors(spark, sf_dir), list(range(16)) + [17]).select("a", "b", r("r", 4).alias("r"))
+    return features.correlated_pairs(_vectors(spark, sf_dir), [*range(64), 65]).select("a", "b", r("r", 4).alias("r"))
 
 
 @query(f"with {_C} select pos::int pos from k where pos not in (select b from c where abs(r) > 0.95)")
@@ -539,9 +539,9 @@ def g_sam_perturb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(spark, sf_dir).select("vec_id", F.posexplode(moved).alias("i", "w")).select("vec_id", "i", r("w").alias("w"))
 
 
-@query(f"with {_EV} select vec_id, list_position(x[1:10], list_max(x[1:10]))::bigint - 1 p from e")
+@query(f"with {_EV} select vec_id, list_position(x, list_max(x))::bigint - 1 p from e")
 def g_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doubles(spark, sf_dir).select("vec_id", layers.argmax(F.slice("x", 1, 10)).cast("bigint").alias("p"))
+    return _doubles(spark, sf_dir).select("vec_id", layers.argmax(F.col("x")).cast("bigint").alias("p"))
 
 
 @query(f"""with {_EV}, f as (select *, (vec_id % 5)::int fold from e), u as (select vec_id, label, fold, unnest(range(0, 64)) pos, unnest(x) v from f),
@@ -617,37 +617,35 @@ def g_batchnorm(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- experiments
 
 
-def _folds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("cv", f) for f in range(5)] + [("loso", f) for f in range(3)], "protocol string, fold int")
+def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five folds of cross-validation, and one for each nation with items: the subjects of leave-one-out."""
+    suppliers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
+    subjects = suppliers.join(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_nationkey").alias("subj")).distinct()
+    loso = splits.loso(subjects, "subj").select(F.lit("loso").alias("protocol"), "fold")
+    return spark.range(5).select(F.lit("cv").alias("protocol"), F.col("id").cast("int").alias("fold")).unionByName(loso)
 
 
-_PLAN = """t as (select unnest(['binary', 'adl_only', 'fall_only', 'flat15']) task), m as (select unnest(['erm', 'sam', 'fic', 'sam_fic']) mode),
-s as (select * from (values ('cv', 0), ('cv', 1), ('cv', 2), ('loso', 0)) v(protocol, seed)), f as (select 'cv' protocol, unnest(range(0, 5)) fold union all select 'loso', unnest(range(0, 3))),
-plan as (select task, mode, s.protocol, seed::int seed, fold::int fold, mode in ('fic', 'sam_fic') uses_features from t, m, s join f on s.protocol = f.protocol)"""
+_PLAN = """f as (select 'cv' protocol, unnest(range(0, 5))::int fold union all select 'loso', (dense_rank() over (order by s_nationkey) - 1)::int from (select distinct s_nationkey from lineitem join supplier on l_suppkey = s_suppkey)),
+plan as (select task, mode, s.protocol, seed::int seed, fold, mode in ('fic', 'sam_fic') uses_features from (select unnest(['binary', 'adl_only', 'fall_only', 'flat15']) task), (select unnest(['erm', 'sam', 'fic', 'sam_fic']) mode),
+(select * from (values ('cv', 0), ('cv', 1), ('cv', 2), ('loso', 0)) v(protocol, seed)) s join f on s.protocol = f.protocol)"""
 
 
 @query(f"with {_PLAN} select * from plan")
 def h_work_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiment.work_plan(spark, _folds(spark)).drop("settings")
+    return experiment.work_plan(spark, _folds(spark, sf_dir)).drop("settings")
 
 
 @query(f"with {_PLAN} select task, mode, protocol, seed, fold from plan where not (task = 'binary' and protocol = 'cv' and seed < 2)")
 def h_resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = experiment.work_plan(spark, _folds(spark))
+    plan = experiment.work_plan(spark, _folds(spark, sf_dir))
     return experiment.remaining(plan, plan.filter("task = 'binary' and protocol = 'cv' and seed < 2")).select(*experiment.UNIT)
 
 
-_SUBJ = """f as (select 'cv' protocol, unnest(range(0, 5))::int fold union all select 'loso', (dense_rank() over (order by s_nationkey) - 1)::int from (select distinct s_nationkey from lineitem join supplier on l_suppkey = s_suppkey)),
-u as (select task, mode, s.protocol, seed::int seed, fold from (select unnest(['binary', 'adl_only', 'fall_only', 'flat15']) task), (select unnest(['erm', 'sam', 'fic', 'sam_fic']) mode), (select * from (values ('cv', 0), ('cv', 1), ('cv', 2), ('loso', 0)) v(protocol, seed)) s join f on s.protocol = f.protocol)"""
-
-
-@query(f"with {_SUBJ} select task, mode, protocol, seed, fold from u where not (task = 'binary' and mode in ('erm', 'sam') and (protocol = 'loso' or seed < 2))")
+@query(f"with {_PLAN} select task, mode, protocol, seed, fold from plan where not (task = 'binary' and mode in ('erm', 'sam') and (protocol = 'loso' or seed < 2))")
 def h_resume_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of a plan whose folds are subjects, after a run that committed some of its parts."""
-    subjects = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")).distinct().join(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_nationkey").alias("subj"))
-    loso = splits.loso(subjects.distinct(), "subj").select(F.lit("loso").alias("protocol"), "fold")
-    plan = experiment.work_plan(spark, spark.range(5).select(F.lit("cv").alias("protocol"), F.col("id").cast("int").alias("fold")).unionByName(loso))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_returnflag").alias("y")).agg(F.count("*").alias("n"))
+    """What is left of a plan after a run that committed some of its parts to a folder."""
+    plan = experiment.work_plan(spark, _folds(spark, sf_dir))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("y")).distinct()
     own = rows.select((F.col("l_suppkey") % 5).cast("int").alias("at"), "l_suppkey", "y")
 
     def predict(todo: DataFrame) -> DataFrame:
@@ -655,8 +653,7 @@ def h_resume_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         return each.select(*experiment.UNIT, "settings", F.col("l_suppkey").alias("window_id"), "y", F.lit("N").alias("p"))
 
     folder = new_folder(spark, "units")
-    some = plan.filter("task = 'binary' and mode in ('erm', 'sam') and (protocol = 'loso' or seed < 2)")
-    units.run_units(some, folder, predict)
+    units.run_units(plan.filter("task = 'binary' and mode in ('erm', 'sam') and (protocol = 'loso' or seed < 2)"), folder, predict)
     return units.remaining_units(plan, folder).select(*experiment.UNIT)
 
 
@@ -673,17 +670,20 @@ md as (select unnest(['erm', 'fic']) mode)"""
 @query(f"""with {_RES}, lq as (select case when seed = 2 then 'loso' else 'cv' end protocol, y, p, count(*) n from q where seed in (1, 2) group by 1, 2, 3)
 select 'flat' task, mode, rs.protocol, round(am, 6) accuracy_mean, round(asd, 6) accuracy_sd, n_seeds::int n_seeds, (select sum(n)::bigint from lq where lq.protocol = rs.protocol and y = p) hits_last_seed, case when mode = 'fic' then 'Adam' else 'none' end optimizer from rs, md""")
 def h_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results written as JSON text and parsed again."""
-    res = _results(spark, sf_dir)
-    kind = res.schema
-    back = res.select(F.to_json(F.struct(*res.columns)).alias("j")).select(F.from_json("j", kind).alias("r")).select("r.*")
+    """Results written as JSON files and read again."""
+    res, folder = _results(spark, sf_dir), new_folder(spark, "results")
+    results.write_results(res, folder)
+    back = results.read_results(spark, folder, res.schema)
     hits = F.aggregate(F.col("confusion_last_seed"), F.lit(0).cast("bigint"), lambda s, c: s + F.when(c["y"] == c["p"], c["n"]).otherwise(0))
     return back.select("task", "mode", "protocol", r("accuracy_mean").alias("accuracy_mean"), r("accuracy_sd").alias("accuracy_sd"), F.size("per_seed").alias("n_seeds"), hits.alias("hits_last_seed"), F.coalesce("feature_settings.optimizer", F.lit("none")).alias("optimizer"))
 
 
 @query(f"with {_RES} select 'flat' task, mode, protocol, printf('%.4f +/- %.4f', am, asd) accuracy, printf('%.4f +/- %.4f', bm, bsd) balanced_accuracy, printf('%.4f +/- %.4f', fm, fsd) macro_f1 from rs, md")
 def h_summary_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiment.summary_rows(_results(spark, sf_dir))
+    """The summary written as a CSV file and read again."""
+    folder = new_folder(spark, "summary")
+    results.write_summary(experiment.summary_rows(_results(spark, sf_dir)), folder)
+    return results.read_summary(spark, folder)
 
 
 @query(f"with {_RES} select 'flat' task, mode, round(max(case when protocol = 'cv' then am end) - max(case when protocol = 'loso' then am end), 6) accuracy_gap, round(max(case when protocol = 'cv' then bm end) - max(case when protocol = 'loso' then bm end), 6) balanced_accuracy_gap, round(max(case when protocol = 'cv' then fm end) - max(case when protocol = 'loso' then fm end), 6) macro_f1_gap from rs, md group by mode")

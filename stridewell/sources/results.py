@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def write_results(results: DataFrame, folder: str) -> None:
@@ -10,7 +11,7 @@ def write_results(results: DataFrame, folder: str) -> None:
     results.write.mode("append").partitionBy("task", "mode", "protocol").json(folder)
 
 
-def read_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def read_results(spark: SparkSession, folder: str, schema: str | StructType) -> DataFrame:
     return spark.read.schema(schema).json(folder)
 
 

@@ -34,10 +34,17 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_known():
-    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"g_fit_predict"}
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"g_fit_predict", "g_linear_erm", "g_linear_sam"}
 
 
 def test_networks_predict_every_window(spark):
     n = queries.QUERIES["c_dataset_shape"](spark, DATA).first().n
     out = queries.QUERIES["g_fit_predict"](spark, DATA).toPandas()
     assert len(out) == n and set(out.p) <= set(out.y) and out.window_id.is_unique
+
+
+@pytest.mark.parametrize("mode", ["erm", "sam"])
+def test_linear_models_predict_every_window(spark, mode):
+    out = queries.QUERIES[f"g_linear_{mode}"](spark, DATA).toPandas()
+    assert len(out) == queries.QUERIES["c_dataset_shape"](spark, DATA).first().n
+    assert out.window_id.is_unique and set(out.p) <= set(out.y) and set(out.fold) == set(range(5))
