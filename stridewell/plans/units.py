@@ -79,11 +79,12 @@ def mark(spark: SparkSession, folder: str, part: tuple, folds: list[int], n: int
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """PREDICTIONS rows of committed parts."""
+    """PREDICTIONS rows of committed parts; only their directories are read."""
     if not _exists(spark, f"{folder}/rows"):
         return spark.createDataFrame([], PREDICTIONS)
-    rows = spark.read.schema(PREDICTIONS).parquet(f"{folder}/rows").select(*_KINDS)
-    return rows.join(committed(spark, folder).select(*PART), list(PART), "left_semi").select(*_KINDS)
+    # configurations times seeds at most
+    parts = ["\x1f".join(str(v) for v in r) for r in committed(spark, folder).select(*PART).collect()]
+    return spark.read.schema(PREDICTIONS).parquet(f"{folder}/rows").filter(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in PART]).isin(parts)).select(*_KINDS)
 
 
 def clean(spark: SparkSession, folder: str) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stridewell.operators import batchnorm
 from stridewell.plans import experiment, units
+from stridewell.shared import written
 
 RNG = np.random.default_rng(2)
 
@@ -111,5 +112,5 @@ def test_seconds_and_rows_of_each_part(spark, tmp_path):
     out = units.run_units(plan, folder, predict)
     took = units.committed(spark, folder).collect()
     assert len(took) == 2 * 4 and all(r.runtime_sec > 0 and r.n_rows == 2 * len(r.folds) for r in took)
-    res = units.timed(experiment.results(out, spark.createDataFrame([("A",), ("B",)], "label string")), folder).collect()
+    res = units.timed(experiment.results(written(out, "predictions"), spark.createDataFrame([("A",), ("B",)], "label string")), folder).collect()
     assert {(r.mode, r.protocol): [s.seed for s in r.runtime_sec] for r in res} == {(m, p): [0, 1, 2] if p == "cv" else [0] for m in ("erm", "fic") for p in ("cv", "loso")}
