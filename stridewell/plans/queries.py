@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import TASKS
 from ..functions import layers
 from ..operators import asof, batchnorm, epochs, features, metrics, moments, signal, splits, stats
-from ..shared import new_folder
+from ..shared import new_folder, written
 from ..sources import recordings, results
 from ..streaming import event_windows
 from . import experiment, units
@@ -469,7 +469,8 @@ from (select *, (i // b + {_MIX("(i % b)", _KEY(0))}) % a l1 from w where i >= n
 def f_epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and quantity of each batch of two epochs."""
     own = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    rows = epochs.numbered(own, own.columns).select("row", "n", "l_quantity")
+    # written, as every epoch reads it
+    rows = written(epochs.numbered(own, own.columns).select("row", "n", "l_quantity"), "epoch-rows")
     return epochs.epoch_batches(rows, 2, seed=7).groupBy("epoch", "batch").agg(F.count("*").alias("n_rows"), r(F.sum("l_quantity"), 2).alias("quantity"))
 
 
