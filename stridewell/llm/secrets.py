@@ -37,6 +37,8 @@ ENDPOINT = r"""(?:https?|wss?|jdbc:[a-z]+|postgres|mysql|redis|amqp|s3)://[^\x20
 SCOPE = 300
 #: Code points of a text that are masked at once.
 _BLOCK = 4096
+#: Rows with spans whose keys (one long each) are broadcast at most, so that only their texts meet the spans in a shuffle.
+LOOKUP = 1_000_000
 _KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 
 
@@ -166,13 +168,19 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark:
 
     A row without spans is unchanged, a null text stays null, repeated rows and rows of a null id are masked each,
     in time linear in the text; names of other columns may be any but ``__id``, ``__digest`` and ``__spans``.
+    Texts without spans stay where they are; those with spans meet these in a shuffle (beyond LOOKUP of them, all texts do).
     """
     found = _all_spans(df, id_col, text_col, scope).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.array_sort(F.concat("assign", "access", "hex", "extra")).alias("__spans"))
     found = written(found.filter(F.size("__spans") > 0).dropDuplicates(["__id", "__digest"]), "secret-spans")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__digest"))
-    out = df.join(found, same, "left")
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))
     text = _masked(F.col(text_col), F.col("__spans"), mark)
-    return out.select(*[F.when(F.col("__spans").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    masked = lambda rows: rows.join(found, same, "left").select(*[F.when(F.col("__spans").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    if found.count() > LOOKUP:
+        return masked(df)
+    # one long for each: a row that has it by chance finds no spans and stays as it is
+    keys, own = F.broadcast(found.select(F.xxhash64("__id", "__digest").alias("__key")).distinct()), F.xxhash64(id_col, digest) == F.col("__key")
+    return df.join(keys, own, "left_anti").unionByName(masked(df.join(keys, own, "left_semi")))
 
 
 def op2_linked_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:

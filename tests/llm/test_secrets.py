@@ -125,3 +125,21 @@ def test_spans_longer_than_a_block(spark):
     text = "a" * 4090 + " " + "0123456789abcdef" * 1000 + " token=" + "Z" * 9000 + " tail " + "x y " * 3000
     want = plain_redact(text, [(a, b) for a, b in [(0, 4090), (4091, 20091), (20092, 29098)]])
     assert secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == want
+
+
+@pytest.mark.parametrize("lookup", [secrets.LOOKUP, 0])
+def test_texts_without_spans_stay_where_they_are(spark, monkeypatch, lookup):
+    """With no side broadcast unasked, as with large tables: only texts with spans may be shuffled, if their keys can be looked up."""
+    monkeypatch.setattr(secrets, "LOOKUP", lookup)
+    rows = [(1, "a token=abcdefghijklmnop b"), (1, "clean"), (2, "clean"), (2, "clean"), (None, "a secret=abcdefghijklmnop"), (None, "clean"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = secrets.redact(df)
+        got, plan = out.collect(), out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [(i, t and t.replace("token=abcdefghijklmnop", "[SECRET]").replace("secret=abcdefghijklmnop", "[SECRET]")) for i, t in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert ("BroadcastHashJoin" in plan and "LeftAnti" in plan) == bool(lookup)
