@@ -73,3 +73,28 @@ def test_weights_count_absent_classes_once():
 def test_selection():
     a = np.random.default_rng(0).normal(size=50)
     assert select(np.stack([a, np.ones(50), a * 2, a**2], axis=1)).tolist() == [0, 3]
+
+
+def test_training_windows_go_to_their_fits_and_not_through_the_driver(spark, monkeypatch):
+    import hashlib
+
+    from pyspark.sql import DataFrame
+
+    from stridewell.models import train
+
+    rng = np.random.default_rng(2)
+    rows = [(i, "ab"[i % 2], rng.normal(i % 2, 1, (2, 12)).tolist(), rng.normal(size=3).tolist(), i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "window_id long, y string, x array<array<float>>, feat array<double>, fold int").repartition(4)
+    least = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(90))
+    for n in (7, 30, 90, 500):
+        assert [r["__hash"] for r in train.training_sample(df, n).orderBy("__hash").collect()] == least[:n]
+    seen = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(self.columns) or collect(self))
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("rows went to the driver"))
+    out = train.fit_predict(df.withColumn("subj", df.fold), mode="fic", epochs=1, max_train=60)
+    assert not any({"x", "feat"} & set(columns) for columns in seen)
+    got = out.select("seed", "fold", "window_id", "y", "p").collect()
+    assert sorted((r.window_id, r.y, r.fold) for r in got) == [(i, y, f) for i, y, _, _, f in rows] and {r.p for r in got} <= {"a", "b"}
+    with pytest.raises(ValueError, match="no windows to train on"):
+        train.fit_predict(df.filter("fold = 1"), epochs=1)
