@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stridewell.operators import features, moments
@@ -53,6 +54,16 @@ def test_moments_of_groups_and_whole(spark):
     np.testing.assert_allclose(np.reshape(whole[0].m2, (6, 6)), (x - x.mean(0)).T @ (x - x.mean(0)), atol=1e-7)
 
 
+def test_moments_are_handed_on_before_a_batch_ends():
+    """A batch of few rows for each of many groups must not become all their matrices at once."""
+    schema, n = moments._schema(pa.int64()), 5 * moments.GROUPS + 7
+    g, x = np.repeat(np.arange(n), 2), RNG.normal(size=(2 * n, 6))
+    batch = pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.ones(2 * n, np.int64)), pa.array(x.tolist(), schema.field(2).type), pa.nulls(2 * n, schema.field(3).type)], schema=schema)
+    out = list(moments._merge(iter([batch])))
+    assert max(b.num_rows for b in out) <= moments.GROUPS + 1 and [v for b in out for v in b.column(0).to_pylist()] == list(range(n))
+    np.testing.assert_allclose([v for b in out for v in b.column(2).to_pylist()], x.reshape(n, 2, 6).mean(1))
+
+
 def test_a_part_taken_away_and_put_back():
     x = RNG.normal(size=(50, 4)) * 1e-3 + 1e4
     a, b = moments.Moments.of(x[:20]), moments.Moments.of(x[20:])
