@@ -66,3 +66,62 @@ def test_numbers_go_on_after_a_long_pause(spark, tmp_path):
         frame(spark, part).coalesce(1).write.mode("append").parquet(src)
         out = windows_so_far(stream(spark, src), folder, 4, 2, "10 seconds")
     assert sorted((r.widx, r.x) for r in out.collect()) == [(0, [0, 1, 2, 3]), (1, [2, 3, 0, 1]), (2, [0, 1, 2, 3])]
+
+
+def test_samples_that_come_together_are_one_row_of_state():
+    """A recording's calls and rows of state must not grow with its samples."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from stridewell.streaming.event_windows import _Windows
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def appendValue(self, row):
+            calls.append(row)
+            self.rows.append(row)
+
+        def appendList(self, rows):
+            calls.extend(rows)
+            self.rows += rows
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            calls.extend(rows)
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+    class Value:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+    handle = SimpleNamespace(getListState=lambda *a: State(), getValueState=lambda *a: Value(), registerTimer=lambda ms: None)
+    windows, out = _Windows(4, 2), []
+    windows.init(handle)
+    for k in range(2):  # the second time, later samples of the first become ready
+        values = [float(v) if v % 5 else None for v in range(100 * k, 100 * k + 100)]
+        rows = pd.DataFrame({"us": [v * 1000 for v in range(100 * k, 100 * k + 100)], "pos": 0, "value": values})
+        windows.handleInputRows(("a",), iter([rows.sample(frac=1, random_state=k)]), None)
+        passed = SimpleNamespace(getCurrentWatermarkInMs=lambda k=k: 100 * k + 49)
+        for frame in windows.handleExpiredTimer(("a",), passed, None):
+            out += frame.values.tolist()
+    plain_values = [float(v) if v % 5 else None for v in range(150)]
+    assert [(w, list(x)) for _, w, x in out] == [(i, plain_values[2 * i : 2 * i + 4]) for i in range(74)]
+    assert len(calls) == 4
